@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from topolane.llm import encode, packing, splitting
+from topolane.llm import encode, encoding_repair, packing, splitting
 from topolane.session import table
 
 
@@ -39,7 +39,20 @@ def p7_utilisation(spark: SparkSession, sf: str) -> DataFrame:
     return packing.utilisation(*_packed(spark, sf))
 
 
-QUERIES = {"p3_found": p3_found, "p3_pieces": p3_pieces, "p6_ids": p6_ids, "p7_containers": p7_containers, "p7_utilisation": p7_utilisation}
+def _judged(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
+    docs = table(spark, sf, "documents").select("doc_id", "source", F.col("doc_kind").alias("kind"), "text")
+    return docs, encoding_repair.judge(docs)
+
+
+def p8_found(spark: SparkSession, sf: str) -> DataFrame:
+    return encoding_repair.garbled(_judged(spark, sf)[1])
+
+
+def p8_restored(spark: SparkSession, sf: str) -> DataFrame:
+    return encoding_repair.restored(*_judged(spark, sf)).select("doc_id", "repaired", "n_units", "n_lost")
+
+
+QUERIES = {"p3_found": p3_found, "p3_pieces": p3_pieces, "p6_ids": p6_ids, "p7_containers": p7_containers, "p7_utilisation": p7_utilisation, "p8_found": p8_found, "p8_restored": p8_restored}
 
 _ESTIMATE = r"((greatest((strlen(text) + 2) // 3, len(regexp_extract_all(text, '[\p{L}\p{N}\p{M}_]+|[^\s\p{L}\p{N}\p{M}_\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]+'))) * 105 + 99) // 100)"
 
