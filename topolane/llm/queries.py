@@ -5,10 +5,23 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from topolane.llm import encode, encoding_repair, packing, splitting
+from topolane.llm import credentials, encode, encoding_repair, packing, splitting
 from topolane.session import table
 
 
+def p2_found(spark: SparkSession, sf: str) -> DataFrame:
+    files = credentials.in_files(table(spark, sf, "source_files"))
+    return files.unionByName(credentials.in_records(table(spark, sf, "hook_records")))
+
+
+def p2_masked_files(spark: SparkSession, sf: str) -> DataFrame:
+    return credentials.masked(table(spark, sf, "source_files").select("file_id", "content"), "content")
+
+
+def p2_masked_records(spark: SparkSession, sf: str) -> DataFrame:
+    return credentials.masked_records(table(spark, sf, "hook_records").select("record_id", "raw"))
+
+
 def p3_pieces(spark: SparkSession, sf: str) -> DataFrame:
     rows = table(spark, sf, "evidence").select("evidence_key", "record_kind", "text")
     done = splitting.split(rows, table(spark, sf, "size_limits"))
@@ -52,7 +65,10 @@ def p8_restored(spark: SparkSession, sf: str) -> DataFrame:
     return encoding_repair.restored(*_judged(spark, sf)).select("doc_id", "repaired", "n_units", "n_lost")
 
 
-QUERIES = {"p3_found": p3_found, "p3_pieces": p3_pieces, "p6_ids": p6_ids, "p7_containers": p7_containers, "p7_utilisation": p7_utilisation, "p8_found": p8_found, "p8_restored": p8_restored}
+QUERIES = {
+    "p2_found": p2_found, "p2_masked_files": p2_masked_files, "p2_masked_records": p2_masked_records,
+    "p3_found": p3_found, "p3_pieces": p3_pieces, "p6_ids": p6_ids, "p7_containers": p7_containers, "p7_utilisation": p7_utilisation, "p8_found": p8_found, "p8_restored": p8_restored,
+}
 
 _ESTIMATE = r"((greatest((strlen(text) + 2) // 3, len(regexp_extract_all(text, '[\p{L}\p{N}\p{M}_]+|[^\s\p{L}\p{N}\p{M}_\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]+'))) * 105 + 99) // 100)"
 
