@@ -5,10 +5,23 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from topolane.llm import credentials, encode, encoding_repair, packing, splitting
+from topolane.llm import credentials, encode, encoding_repair, packing, splitting, syntax
 from topolane.session import table
 
 
+def p1_found(spark: SparkSession, sf: str) -> DataFrame:
+    return syntax.defects(table(spark, sf, "source_files")).select("file_id").distinct()
+
+
+def p1_defects(spark: SparkSession, sf: str) -> DataFrame:
+    return syntax.defects(table(spark, sf, "source_files"))
+
+
+def p1_rates(spark: SparkSession, sf: str) -> DataFrame:
+    files = table(spark, sf, "source_files")
+    return syntax.rates(files, syntax.defects(files))
+
+
 def p2_found(spark: SparkSession, sf: str) -> DataFrame:
     files = credentials.in_files(table(spark, sf, "source_files"))
     return files.unionByName(credentials.in_records(table(spark, sf, "hook_records")))
@@ -66,6 +79,7 @@ def p8_restored(spark: SparkSession, sf: str) -> DataFrame:
 
 
 QUERIES = {
+    "p1_found": p1_found, "p1_defects": p1_defects, "p1_rates": p1_rates,
     "p2_found": p2_found, "p2_masked_files": p2_masked_files, "p2_masked_records": p2_masked_records,
     "p3_found": p3_found, "p3_pieces": p3_pieces, "p6_ids": p6_ids, "p7_containers": p7_containers, "p7_utilisation": p7_utilisation, "p8_found": p8_found, "p8_restored": p8_restored,
 }
