@@ -236,6 +236,10 @@ def json_path(dotted: str) -> str:
 CASTS = {"exit_code": "bigint", "success": "boolean", "error": "boolean", "stop_hook_active": "boolean"}
 
 
+#: Members that hold the value where it became an object.
+MEMBERS = {"output": ("text",), "content": ("text",), "cwd": ("primary",)}
+
+
 def unified(lines: DataFrame) -> DataFrame:
     """All lines in one table: the alias table's columns with their casts, `readable` false where the line is no JSON.
 
@@ -250,7 +254,9 @@ def unified(lines: DataFrame) -> DataFrame:
             if meaning in CASTS:
                 found.append(F.try_variant_get(v, json_path(n), "double") if CASTS[meaning] == "bigint" else F.try_variant_get(v, json_path(n), "string"))
             else:
-                found += [F.try_variant_get(v, json_path(n) + "['text']", "string"), F.try_variant_get(v, json_path(n) + "['primary']", "string"), F.try_variant_get(v, json_path(n), "string")]
+                # Members that stand for the whole come first, since an object as text is its JSON.
+                found += [F.try_variant_get(v, json_path(n) + f"['{m}']", "string") for m in MEMBERS.get(meaning, ())]
+                found.append(F.try_variant_get(v, json_path(n), "string"))
         value = F.coalesce(*found)
         if CASTS.get(meaning) == "bigint":
             value = value.try_cast("bigint")
