@@ -142,10 +142,11 @@ x AS (SELECT *, row_number() OVER w - 1 AS rank, sum(b + 1) OVER w - 1 AS sb, su
 p AS (SELECT *, CASE WHEN sb <= 0 THEN 0 ELSE (greatest((sb + 2) // 3, sr) * 105 + 99) // 100 END AS used FROM x)"""
 
 
-@query(f"WITH {_PACKED} SELECT query_id, count(*) FILTER (WHERE used <= 600) AS kept, coalesce(max(used) FILTER (WHERE used <= 600), 0)::BIGINT AS estimated_tokens, count(*) FILTER (WHERE used > 600) AS omitted, min(rank) FILTER (WHERE used > 600)::BIGINT AS next_offset FROM p GROUP BY 1")
+@query(f"WITH {_PACKED} SELECT query_id, count(*) FILTER (WHERE used <= 600) AS kept, coalesce(max(used) FILTER (WHERE used <= 600), 0)::BIGINT AS estimated_tokens, count(*) FILTER (WHERE used > 600) AS omitted, coalesce(min(rank) FILTER (WHERE used > 600), -1)::BIGINT AS next_offset FROM p GROUP BY 1")
 def evidence_pack(spark, sf):
     rows = table(spark, sf, "evidence").select("evidence_key", "query_id", "ord", "priority", "text")
-    return packet.packed_summary(packet.pack_evidence(rows, ["query_id"], 600, ["ord", "evidence_key"]), ["query_id"])
+    out = packet.packed_summary(packet.pack_evidence(rows, ["query_id"], 600, ["ord", "evidence_key"]), ["query_id"])
+    return out.withColumn("next_offset", F.coalesce("next_offset", F.lit(-1).cast("bigint")))
 
 
 @query("WITH e AS (SELECT query_id, id AS item, evidence_key FROM evidence), r AS (SELECT query_id + 1 AS query_id, id AS item FROM evidence) SELECT evidence_key FROM e WHERE NOT EXISTS (SELECT 1 FROM r WHERE r.query_id = e.query_id AND r.item = e.item)")

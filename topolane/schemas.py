@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.sql import types as T
-
 TYPE_KINDS = ("class", "struct", "enum", "interface", "trait", "type_alias")
 #: Kinds that names resolve to.
 DEFINITION_KINDS = ("file", "module", *TYPE_KINDS, "function", "method", "kernel", "component")
@@ -40,10 +38,10 @@ TRANSITIONS: dict[str, tuple[str | None, ...]] = {
     "completed": ("complete",) * 7,
 }
 
-NODES = T.StructType.fromDDL("node_id BIGINT, repo STRING, kind STRING, label STRING, qualified_name STRING, path STRING, start_line INT, end_line INT")
-EDGES = T.StructType.fromDDL("src BIGINT, dst BIGINT, kind STRING, line INT")
-PENDING = T.StructType.fromDDL("repo STRING, source_id BIGINT, target_name STRING, kind STRING, line INT")
-FRAGMENT = T.StructType.fromDDL(
+NODES = "node_id BIGINT, repo STRING, kind STRING, label STRING, qualified_name STRING, path STRING, start_line INT, end_line INT"
+EDGES = "src BIGINT, dst BIGINT, kind STRING, line INT"
+PENDING = "repo STRING, source_id BIGINT, target_name STRING, kind STRING, line INT"
+FRAGMENT = (
     "path STRING, language STRING, content_hash BIGINT,"
     " nodes ARRAY<STRUCT<local_id: INT, kind: STRING, label: STRING, qualified_name: STRING, start_line: INT, end_line: INT, parent_local_id: INT>>,"
     " pending ARRAY<STRUCT<ord: INT, source_local_id: INT, target_name: STRING, kind: STRING, line: INT>>,"
