@@ -100,6 +100,6 @@ def matching_files(files: DataFrame, name: str) -> DataFrame:
 
 def ranked_tests(impact: DataFrame, nodes: DataFrame) -> DataFrame:
     """Test symbols reached by an impact, nearest first."""
-    hit = impact.join(nodes, "node_id").where(is_test_path(F.col("path")))
+    hit = impact.join(nodes, "node_id").where(is_test_path(F.col("path")) & ~F.col("kind").isin("file", "import", "boundary"))
     w = Window.partitionBy("repo", "path", "label").orderBy("distance", "node_id")
     return hit.withColumn("rn", F.row_number().over(w)).where("rn = 1").select("repo", "distance", "path", "label")

@@ -187,7 +187,7 @@ def names_of(text: str) -> list[str]:
 
 def blank(text: str, spec: Spec, strings: bool = True) -> str:
     """Comments (and strings) as blanks of the same length."""
-    keep = re.compile(f"(?P<c>{spec.comment})|(?P<s>{spec.string})", re.S)
+    keep = re.compile(f"(?P<c>{spec.comment.replace('(?m)', '').replace('(?im)', '')})|(?P<s>{spec.string})", re.S | re.M)
     hide = lambda m: re.sub(r"[^\n]", " ", m[0])
     return keep.sub(lambda m: hide(m) if m["c"] is not None or strings else m[0], text)
 
@@ -229,8 +229,9 @@ def scan_text(path: str, lang: str, text: str, b: Builder, parent: int = 0) -> N
     # Names of quoted definitions (Terraform, CFML, XML) need their strings.
     body = with_strings if spec.string == r"(?!)" else bare
     found: dict[tuple[int, str], tuple] = {}
-    for kind, pattern in spec.defs:
-        for m in re.finditer(pattern, body, re.S if kind == "impl" else 0):
+    for stated, pattern in spec.defs:
+        for m in re.finditer(pattern, body, re.S if stated == "impl" else 0):
+            kind = stated
             name = re.sub(r'"\s+"', ".", m["n"]).strip()
             if kind in ("method", "function") and name in NO_CALL:
                 continue
