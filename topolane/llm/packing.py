@@ -112,4 +112,4 @@ def utilisation(packed: DataFrame, capacity: int) -> DataFrame:
     return bins.agg(
         F.count(F.lit(1)).alias("containers"), F.coalesce(F.sum("used"), F.lit(0)).alias("tokens"),
         F.coalesce(F.sum("members"), F.lit(0)).alias("members"), F.max("used").alias("fullest"),
-    ).withColumns({"least": F.ceil(F.col("tokens") / capacity), "used_share": F.round(F.col("tokens") / (F.col("containers") * capacity), 6)})
+    ).withColumns({"least": F.ceil(F.col("tokens") / capacity), "used_share": F.round(F.try_divide(F.col("tokens"), F.col("containers") * capacity), 6)})

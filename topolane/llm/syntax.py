@@ -41,7 +41,14 @@ KEYWORDS = {
     "c": "auto break case char const continue default do double else enum extern float for goto if inline int long register restrict return short signed sizeof static struct switch typedef union unsigned void volatile while _Bool",
     "javascript": "as async from get of set static await break case catch class const continue debugger default delete do else export extends finally for function if import in instanceof let new return super switch this throw try typeof var void while with yield true false null",
 }
-KEYWORDS["typescript"] = KEYWORDS["javascript"]
+#: Words that are reserved only in some places; elsewhere they are names.
+SOFT = {
+    "javascript": "as async from get of set static".split(),
+    "typescript": "as async from get of set static abstract asserts declare enum implements infer interface is keyof module namespace override private protected public readonly satisfies type unique".split(),
+    "python": ["case", "match"],
+}
+KEYWORDS["typescript"] = KEYWORDS["javascript"] + " " + " ".join(w for w in SOFT["typescript"] if w not in SOFT["javascript"])
+KEYWORDS["python"] += " case match"
 OPERATORS = {
     "python": "**= //= >>= <<= ... != == <= >= -> := += -= *= /= %= &= |= ^= @= ** // << >> + - * / % @ & | ^ ~ < > = . , : ;",
     "rust": "<<= >>= ..= ... :: -> => == != <= >= && || += -= *= /= %= ^= &= |= << >> .. + - * / % ^ ! & | < > = @ . , ; : # $ ?",
@@ -91,6 +98,10 @@ IDENTS = {l: r"[^\W\d]\w*" for l in KEYWORDS} | {"javascript": r"#?[^\W\d]\w*|#?
 IDENTS["javascript"] = IDENTS["typescript"] = r"#?(?:[^\W\d]|\$)[\w$]*"
 
 
+#: What follows `match` or `case` where it heads a block.
+MATCH_LINE = re.compile(r"[ \t]+(?![=.,)\]])[^\r\n]*:[ \t]*(?:#[^\r\n]*)?(?=\r|\n|\Z)")
+
+
 class Lexed(Exception):
     """A lexical error; its text names it."""
 
@@ -102,7 +113,7 @@ class Lexer:
 
     def __init__(self, lang: str):
         self.lang = lang
-        self.words = {w: CODE[w] for w in KEYWORDS[lang].split()}
+        self.words = {w: CODE[w] for w in KEYWORDS[lang].split() if lang != "python" or w not in SOFT["python"]}
         ops = "|".join(re.escape(o) for o in OPERATORS[lang].split())
         parts = [("ws", r"[ \t\f\v ﻿]+|\\\r?\n" if lang in ("python", "c") else r"[ \t\f\v ﻿]+"), ("nl", r"\r\n|\n|\r"), ("comment", COMMENTS[lang])]
         if lang == "c":
@@ -231,7 +242,10 @@ class Lexer:
                         add(LINE)
                 continue
             if kind == "ident":
-                add(words.get(word, IDENT))
+                if python and word in ("match", "case") and depth == 0 and (not out or out[-1] in (LINE, ">", "<")) and MATCH_LINE.match(text, pos):
+                    add(CODE[word])
+                else:
+                    add(words.get(word, IDENT))
             elif kind == "open":
                 depth += 1
                 add(word)
@@ -295,7 +309,7 @@ def permitted(lang: str) -> set[str]:
         kinds.add(LIFETIME)
     if js:
         kinds.add(REGEX)
-    soft = {CODE[x] for x in ("as", "async", "from", "get", "of", "set", "static")} if js else set()
+    soft = {CODE[x] for x in SOFT[lang]} if js else set()
     if js or lang in ("go", "python"):
         kinds.add(LINE)
     if lang == "python":
@@ -327,7 +341,7 @@ def permitted(lang: str) -> set[str]:
                 if a in soft:
                     ok = True
                 if b == IDENT:
-                    typed = {"rust": set(), "go": {IDENT, ")", "]"}, "java": {IDENT, "]", ")"}, "c": {IDENT, ")"}, "typescript": {IDENT, ")"}, "javascript": set(), "python": set()}[lang]
+                    typed = {"rust": set(), "go": {IDENT, ")", "]"}, "java": {IDENT, "]", ")"}, "c": {IDENT, ")"}, "typescript": {")"}, "javascript": {")"}, "python": set()}[lang]
                     ok = ok or a in typed or a in code("...", "default", "async", "await", "yield", "?", "let", "var", "function", "class", "return", "break", "continue", "++", "--", "super")
                 elif a in code("return", "yield", "await", "break", "default", "++", "--", "?", "...", "async", "class", "super"):
                     ok = True
@@ -389,12 +403,13 @@ _JS_BODY = rf"""(?: N | <;> | <import> (?:s | [^s<;>N]+ <from> s) (?:[i<with>] C
     | <export> {{declare}} (?: C (?: <from> s)? | <*> (?: <as> i)? <from> s ) (?:{_END}|$) | <export> <default> [^{_JS_WORDS}<;>]+ (?:{_END}|$) {{types}}
     | <export>? {{declare}} (?:<const>|<let>|<var>) [^<;>{_JS_WORDS}]+? (?:{_END}|$)
     | <if> P | <else> | (?:<for>|<while>|<switch>|<with>) (?:<await>)? P | <do> C? | <try> C | <catch> P? C | <finally> C | (?:<return>|<throw>|<break>|<continue>|<debugger>) [^<;>N]* (?:{_END}|$) | i <:> | <@> i (?:<.> i)* P?
-    | C | (?:[insrPB]|<of>|<from>|<as>|<async>|<get>|<set>|<static>|<await>|<new>|<this>|<super>|<typeof>|<void>|<delete>|<yield>|<!>|<-->|<++>|<+>|<->|<~>|<true>|<false>|<null>|<...>) (?:[^<;>N<export><import>]*?) (?:{_END}|$) )*+"""
+    | C | (?:[insrPB]|{{soft}}|<await>|<new>|<this>|<super>|<typeof>|<void>|<delete>|<yield>|<!>|<-->|<++>|<+>|<->|<~>|<true>|<false>|<null>|<...>) (?:[^<;>N<export><import>]*?) (?:{_END}|$) )*+"""
 _GENERIC = r"(?:<<>[^P;]*?<>>)?"
-TOP["javascript"] = _JS_BODY.format(generic="", ret="", bodiless=r"(?!)", abstract="", types="", declare="")
+TOP["javascript"] = _JS_BODY.format(generic="", ret="", bodiless=r"(?!)", abstract="", types="", declare="", soft="|".join(f"<{w}>" for w in SOFT["javascript"]))
 TOP["typescript"] = _JS_BODY.format(
-    generic=r"(?:<lt>[^PC]*?(?:<gt>|<sr>))?", ret=r"(?:<:>[^<;>NC]+)?", bodiless=r"<;>", abstract="(?:i)?",
-    types=r"""| <export>? (?:<default>)? (?:i)? (?: i i [^<;>C<=>N]* C | i i [^<;>C<=>N]* <=> [^<;>]+? (?:<;>|N|$) | (?:<const>)? i i C | i (?:i|s)? (?:<.>i)* C)""", declare="(?:i)?",
+    generic=r"(?:<lt>[^PC]*?(?:<gt>|<sr>))?", ret=r"(?:<:>[^<;>NC]+)?", bodiless=r"<;>", abstract="<abstract>?",
+    types=r"""| <export>? (?:<default>)? (?:<declare>|<abstract>)* (?: <interface> i [^<;>C<=>N]* C | <type> i [^<;>N<=>]* <=> [^<;>]+? (?:<;>|N|$) | <const>? <enum> i C | (?:<namespace>|<module>) (?:i|s) (?:<.>i)* C)""",
+    declare="<declare>?", soft="|".join(f"<{w}>" for w in SOFT["typescript"]),
 )
 
 
@@ -405,7 +420,7 @@ def _compiled(lang: str) -> str:
     return f"^{p}$"
 
 
-_HEADS = "<if> <elif> <else> <for> <while> <def> <class> <with> <try> <except> <finally> <async>"
+_HEADS = "<if> <elif> <else> <for> <while> <def> <class> <with> <try> <except> <finally> <async> <match> <case>"
 
 
 def _python_line() -> str:
@@ -421,7 +436,7 @@ def _python_line() -> str:
         f"(?:{dec}(?:{code('async')})?{code('def')}iP(?:{code('->')}{body})?{suite}|{dec}{code('class')}iB?P?{suite}"
         f"|{code('if')}{body}{suite}(?:{code('elif')}{body}{suite})*(?:{code('else')}{suite})?"
         f"|(?:{code('async')})?(?:{code('for')}|{code('while')}){body}{suite}(?:{code('else')}{suite})?"
-        f"|(?:{code('async')})?{code('with')}{body}{suite}|i{rest}+{code(':')}NS|{first}{rest}*N"
+        f"|(?:{code('async')})?{code('with')}{body}{suite}|(?:{code('match')}|{code('case')}){body}{suite}|{first}{rest}*N"
         f"|{code('try')}{suite}(?:(?:{code('except')}{body}{suite})+(?:{code('else')}{suite})?(?:{code('finally')}{suite})?|{code('finally')}{suite}))"
     )
 
