@@ -98,6 +98,8 @@ IDENTS = {l: r"[^\W\d]\w*" for l in KEYWORDS} | {"javascript": r"#?[^\W\d]\w*|#?
 IDENTS["javascript"] = IDENTS["typescript"] = r"#?(?:[^\W\d]|\$)[\w$]*"
 
 
+INDENT = re.compile(r"[ \t\f]*")
+REGEX_LITERAL = re.compile(r"/(?:[^/\\\[\r\n]|\\.|\[(?:[^\]\\\r\n]|\\.)*\])+/[A-Za-z]*")
 #: What follows `match` or `case` where it heads a block.
 MATCH_LINE = re.compile(r"[ \t]+(?![=.,)\]])[^\r\n]*:[ \t]*(?:#[^\r\n]*)?(?=\r|\n|\Z)")
 
@@ -113,22 +115,26 @@ class Lexer:
 
     def __init__(self, lang: str):
         self.lang = lang
+        self.js = lang in ("javascript", "typescript")
         self.words = {w: CODE[w] for w in KEYWORDS[lang].split() if lang != "python" or w not in SOFT["python"]}
         ops = "|".join(re.escape(o) for o in OPERATORS[lang].split())
-        parts = [("ws", r"[ \t\f\v ﻿]+|\\\r?\n" if lang in ("python", "c") else r"[ \t\f\v ﻿]+"), ("nl", r"\r\n|\n|\r"), ("comment", COMMENTS[lang])]
+        blank = r"(?:[ \t\f\v\xa0\ufeff]+|\\\r?\n)*" if lang in ("python", "c") else r"[ \t\f\v\xa0\ufeff]*"
+        parts = [("comment", COMMENTS[lang]), ("string", STRINGS[lang])]
         if lang == "c":
             parts.append(("directive", r"(?m:^)[ \t]*#(?:[^\r\n\\/]|\\\r?\n|\\.|/(?![/*])|/\*.*?\*/)*"))
-        parts.append(("string", STRINGS[lang]))
         if lang in CHARS:
             parts.append(("char", CHARS[lang]))
         if lang == "rust":
-            parts.append(("life", r"'[^\W\d]\w*(?!')"))
-        parts += [("number", NUMBERS[lang]), ("ident", IDENTS[lang]), ("open", r"[(\[{]"), ("close", r"[)\]}]"), ("op", ops)]
+            parts += [("life", r"'[^\W\d]\w*(?!')"), ("deep", r"/\*")]
+        if self.js:
+            parts += [("tick", "`"), ("slash", "/")]
+        # The commonest first; a string with a prefix is no name, so names give way to a quote that follows.
+        parts = [("ident", rf"(?:{IDENTS[lang]})(?![\"'#])"), ("close", r"[)\]}]"), ("nl", r"\r\n|\n|\r"), ("open", r"[(\[{]"), *parts, ("number", NUMBERS[lang]), ("late", IDENTS[lang]), ("op", ops), ("eof", r"\Z")]
         if lang == "c":
-            parts.insert(0, parts.pop(3))
-        self.token = re.compile("|".join(f"(?P<{n}>{p})" for n, p in parts), re.S)
+            parts.insert(0, next(x for x in parts if x[0] == "directive"))
+            parts = [x for i, x in enumerate(parts) if i == 0 or x[0] != "directive"]
+        self.token = re.compile(blank + "(?:" + "|".join(f"(?P<{n}>{p})" for n, p in parts) + ")", re.S)
         self.regex_ok = {START, LINE, "(", "[", "{", "}", *(CODE[x] for x in "=,;:!&|?+-*%^~<>" if x in CODE), *(CODE[x] for x in ("=>", "&&", "||", "??", "return", "typeof", "case", "==", "===", "!=", "!==", "in", "of", "...") if x in CODE)}
-        self.js = lang in ("javascript", "typescript")
         self.asi = lang == "go"
 
     @classmethod
@@ -180,16 +186,15 @@ class Lexer:
     def kinds(self, text: str) -> str:
         """One kind for each token, with line ends and indentation where they matter; raises Lexed."""
         out: list[str] = []
-        add, match, words, js, lang = out.append, self.token.match, self.words, self.js, self.lang
+        add, match, words, code, js, lang = out.append, self.token.match, self.words, CODE, self.js, self.lang
         pos, n, depth = 0, len(text), 0
         python, indents, fresh = lang == "python", [0], True
         if text.startswith("#!") and js:
             pos = len(text.split("\n", 1)[0])
         while pos < n:
-            ch = text[pos]
             if python and fresh and depth == 0:
                 # Indentation of a logical line.
-                m = re.compile(r"[ \t\f]*").match(text, pos)
+                m = INDENT.match(text, pos)
                 rest = text[m.end() : m.end() + 1]
                 if rest and rest not in "\r\n#":
                     width = len(m[0].expandtabs(8))
@@ -205,63 +210,69 @@ class Lexer:
                 pos = m.end()
                 if pos >= n:
                     break
-                ch = text[pos]
-            if js:
-                if ch == "`":
-                    pos = self.template(text, pos)
-                    add(STRING)
-                    continue
-                if ch == "/" and text[pos + 1 : pos + 2] not in ("/", "*") and (not out or out[-1] in self.regex_ok):
-                    m = re.compile(r"/(?:[^/\\\[\r\n]|\\.|\[(?:[^\]\\\r\n]|\\.)*\])+/[A-Za-z]*").match(text, pos)
-                    if not m:
-                        raise Lexed("regex")
-                    add(REGEX)
-                    pos = m.end()
-                    continue
-            elif lang == "rust" and ch == "/" and text.startswith("/*", pos):
-                pos = self.rust_comment(text, pos)
-                continue
             m = match(text, pos)
             if not m:
-                raise Lexed("character" if ch not in "\"'`" else "string")
-            kind, word = m.lastgroup, m[0]
-            if kind == "h":
-                kind = "string"
-            pos = m.end()
-            if kind == "ws":
-                continue
-            if kind == "nl" or kind == "comment":
-                if kind == "comment" and "\n" not in word:
-                    continue
-                if python:
-                    if depth == 0 and not fresh and kind == "nl":
-                        add(LINE)
-                    fresh = fresh or depth == 0
-                elif js or self.asi:
-                    if out and out[-1] != LINE:
-                        add(LINE)
-                continue
-            if kind == "ident":
-                if python and word in ("match", "case") and depth == 0 and (not out or out[-1] in (LINE, ">", "<")) and MATCH_LINE.match(text, pos):
+                raise Lexed("string" if text[pos:].lstrip()[:1] in ("'", '"', "`") else "character")
+            kind = m.lastgroup
+            if kind == "ident" or kind == "late":
+                word = m[kind]
+                if python and word in ("match", "case") and depth == 0 and (not out or out[-1] in (LINE, ">", "<")) and MATCH_LINE.match(text, m.end()):
                     add(CODE[word])
                 else:
                     add(words.get(word, IDENT))
+            elif kind == "op":
+                word = m["op"]
+                if word == "/" and text.startswith("*", m.end()):
+                    raise Lexed("comment")
+                add(code[word])
             elif kind == "open":
                 depth += 1
-                add(word)
+                add(m["open"])
             elif kind == "close":
-                depth = max(0, depth - 1)
-                add(word)
-            elif kind == "op":
-                if word == "/" and text.startswith("*", pos):
-                    raise Lexed("comment")
-                add(CODE[word])
+                if depth:
+                    depth -= 1
+                add(m["close"])
+            elif kind == "nl" or kind == "comment":
+                if kind == "nl" or "\n" in m["comment"]:
+                    if python:
+                        if depth == 0 and not fresh and kind == "nl":
+                            add(LINE)
+                        fresh = fresh or depth == 0
+                    elif js or self.asi:
+                        if out and out[-1] != LINE:
+                            add(LINE)
             elif kind == "number":
-                if pos < n and (text[pos].isalnum() or text[pos] == "_"):
+                end = m.end()
+                if end < n and (text[end].isalnum() or text[end] == "_"):
                     raise Lexed("number")
                 add(NUMBER)
+            elif kind == "eof":
+                break
+            elif kind == "tick":
+                pos = self.template(text, m.end() - 1)
+                add(STRING)
+                continue
+            elif kind == "slash":
+                if not out or out[-1] in self.regex_ok:
+                    r = REGEX_LITERAL.match(text, m.end() - 1)
+                    if not r:
+                        raise Lexed("regex")
+                    add(REGEX)
+                    pos = r.end()
+                    continue
+                if text.startswith("*", m.end()):
+                    raise Lexed("comment")
+                if text.startswith("=", m.end()):
+                    add(code["/="])
+                    pos = m.end() + 1
+                    continue
+                add(code["/"])
+            elif kind == "deep":
+                pos = self.rust_comment(text, m.end() - 2)
+                continue
             else:
-                add({"string": STRING, "char": CHAR, "life": LIFETIME, "directive": DIRECTIVE}[kind])
+                add(STRING if kind == "string" or kind == "h" else CHAR if kind == "char" else LIFETIME if kind == "life" else DIRECTIVE)
+            pos = m.end()
         if python:
             if out and not fresh:
                 add(LINE)
@@ -692,6 +703,7 @@ def flow_end(s: str) -> int | None:
 
 
 DEEP = 64
+GROUPS = re.compile(r"[()\[\]{}<>]")
 
 
 def collapse(lang: str, kinds: str) -> str:
@@ -742,16 +754,17 @@ def lexed(files: DataFrame) -> DataFrame:
             for i, lang, text in zip(b["file_id"], b["lang"], b["content"]):
                 kinds, error = lex(lang, text)
                 depth = most = 0
-                for k in kinds:
+                for k in GROUPS.findall(kinds):
                     if k in "([{>":
                         depth += 1
-                        most = max(most, depth)
-                    elif k in ")]}<":
+                        if depth > most:
+                            most = depth
+                    else:
                         depth -= 1
                 whole = START + kinds + END
                 if most > DEEP and lang in KEYWORDS:
                     kinds, most = collapse(lang, kinds), 0
-                pairs = sorted({whole[j : j + 2] for j in range(len(whole) - 1)}) if len(whole) > 2 and lang not in ("xml", "yaml") else []
+                pairs = sorted(a + b for a, b in set(zip(whole, whole[1:]))) if len(whole) > 2 and lang not in ("xml", "yaml") else []
                 rows.append((i, lang, kinds, most, error, pairs))
             yield pd.DataFrame(rows, columns=["file_id", "lang", "kinds", "depth", "error", "pairs"])
 
