@@ -98,7 +98,6 @@ IDENTS = {l: r"[^\W\d]\w*" for l in KEYWORDS} | {"javascript": r"#?[^\W\d]\w*|#?
 IDENTS["javascript"] = IDENTS["typescript"] = r"#?(?:[^\W\d]|\$)[\w$]*"
 
 
-INDENT = re.compile(r"[ \t\f]*")
 REGEX_LITERAL = re.compile(r"/(?:[^/\\\[\r\n]|\\.|\[(?:[^\]\\\r\n]|\\.)*\])+/[A-Za-z]*")
 #: What follows `match` or `case` where it heads a block.
 MATCH_LINE = re.compile(r"[ \t]+(?![=.,)\]])[^\r\n]*:[ \t]*(?:#[^\r\n]*)?(?=\r|\n|\Z)")
@@ -129,7 +128,7 @@ class Lexer:
         if self.js:
             parts += [("tick", "`"), ("slash", "/")]
         # The commonest first; a string with a prefix is no name, so names give way to a quote that follows.
-        parts = [("ident", rf"(?:{IDENTS[lang]})(?![\"'#])"), ("close", r"[)\]}]"), ("nl", r"\r\n|\n|\r"), ("open", r"[(\[{]"), *parts, ("number", NUMBERS[lang]), ("late", IDENTS[lang]), ("op", ops), ("eof", r"\Z")]
+        parts = [("ident", rf"(?:{IDENTS[lang]})(?![\"'#])"), ("close", r"[)\]}]"), ("nl", r"\r\n|\n|\r"), ("open", r"[(\[{]"), *parts, ("number", NUMBERS[lang]), ("late", IDENTS[lang]), ("op", ops), ("eof", r"\Z"), ("bad", ".")]
         if lang == "c":
             parts.insert(0, next(x for x in parts if x[0] == "directive"))
             parts = [x for i, x in enumerate(parts) if i == 0 or x[0] != "directive"]
@@ -186,34 +185,31 @@ class Lexer:
     def kinds(self, text: str) -> str:
         """One kind for each token, with line ends and indentation where they matter; raises Lexed."""
         out: list[str] = []
-        add, match, words, code, js, lang = out.append, self.token.match, self.words, CODE, self.js, self.lang
+        add, words, code, js = out.append, self.words, CODE, self.js
         pos, n, depth = 0, len(text), 0
-        python, indents, fresh = lang == "python", [0], True
+        python, indents, fresh = self.lang == "python", [0], True
         if text.startswith("#!") and js:
             pos = len(text.split("\n", 1)[0])
-        while pos < n:
-            if python and fresh and depth == 0:
-                # Indentation of a logical line.
-                m = INDENT.match(text, pos)
-                rest = text[m.end() : m.end() + 1]
-                if rest and rest not in "\r\n#":
-                    width = len(m[0].expandtabs(8))
-                    if width > indents[-1]:
-                        indents.append(width)
-                        add(">")
-                    while width < indents[-1]:
-                        indents.pop()
-                        add("<")
-                    if width != indents[-1]:
-                        raise Lexed("indentation")
-                    fresh = False
-                pos = m.end()
-                if pos >= n:
-                    break
-            m = match(text, pos)
-            if not m:
-                raise Lexed("string" if text[pos:].lstrip()[:1] in ("'", '"', "`") else "character")
+        tokens = self.token.finditer(text, pos)
+        while True:
+            m = next(tokens, None)
+            if m is None:
+                break
             kind = m.lastgroup
+            if kind == "bad":
+                raise Lexed("string" if m["bad"] in ("'", '"', "`") else "character")
+            if python and fresh and depth == 0 and kind not in ("nl", "comment", "eof"):
+                # Indentation of a logical line.
+                width = len(text[m.start() : m.start(kind)].expandtabs(8))
+                if width > indents[-1]:
+                    indents.append(width)
+                    add(">")
+                while width < indents[-1]:
+                    indents.pop()
+                    add("<")
+                if width != indents[-1]:
+                    raise Lexed("indentation")
+                fresh = False
             if kind == "ident" or kind == "late":
                 word = m[kind]
                 if python and word in ("match", "case") and depth == 0 and (not out or out[-1] in (LINE, ">", "<")) and MATCH_LINE.match(text, m.end()):
@@ -249,30 +245,26 @@ class Lexer:
             elif kind == "eof":
                 break
             elif kind == "tick":
-                pos = self.template(text, m.end() - 1)
+                tokens = self.token.finditer(text, self.template(text, m.end() - 1))
                 add(STRING)
-                continue
             elif kind == "slash":
                 if not out or out[-1] in self.regex_ok:
                     r = REGEX_LITERAL.match(text, m.end() - 1)
                     if not r:
                         raise Lexed("regex")
                     add(REGEX)
-                    pos = r.end()
-                    continue
-                if text.startswith("*", m.end()):
+                    tokens = self.token.finditer(text, r.end())
+                elif text.startswith("*", m.end()):
                     raise Lexed("comment")
-                if text.startswith("=", m.end()):
+                elif text.startswith("=", m.end()):
                     add(code["/="])
-                    pos = m.end() + 1
-                    continue
-                add(code["/"])
+                    tokens = self.token.finditer(text, m.end() + 1)
+                else:
+                    add(code["/"])
             elif kind == "deep":
-                pos = self.rust_comment(text, m.end() - 2)
-                continue
+                tokens = self.token.finditer(text, self.rust_comment(text, m.end() - 2))
             else:
                 add(STRING if kind == "string" or kind == "h" else CHAR if kind == "char" else LIFETIME if kind == "life" else DIRECTIVE)
-            pos = m.end()
         if python:
             if out and not fresh:
                 add(LINE)
