@@ -25,16 +25,20 @@ from pyspark.sql import functions as F
 
 from topolane.session import cut
 
-LOST = "lost"
+LOST, LOST_MARK = "lost", "\ufffd"
 INTACT = "intact"
-ROUNDS = 4
+ROUNDS = 3
 #: Share of units assumed garbled before anything is known: by a chain through UTF-8, whose structure is evidence in
 #: itself, and by any other; WEIGHT is the pseudo-count of that belief.
 PRIOR_UTF8, PRIOR_OTHER, WEIGHT = 0.02, 2e-4, 20.0
 #: Pairs of ASCII characters are not counted; each costs ASCII_PAIR, a step from ASCII to another character LEAVE_ASCII
 #: besides its share among such steps, a pair never seen BACKOFF besides the share of its second character.
-ASCII_PAIR, LEAVE_ASCII, BACKOFF, UNSEEN = -3.0, -2.5, -2.5, 0.02
+ASCII_PAIR, LEAVE_ASCII, BACKOFF, UNSEEN = -2.4, -2.5, -2.5, 0.02
+#: That both bytes of a 16-bit character are printable ASCII has a chance of about e^-2, which each of the two is credited.
+WIDE_CREDIT = 1.0
 FLUSH = 500_000
+#: An alternative whose fit is so much worse than the intact one's is ruled out (a factor of e^-40).
+HOPELESS = 40.0
 
 #: Encodings in which UTF-8 bytes were read; "sloppy" ones pass undefined bytes on as control characters.
 READ_AS = ("cp1252", "latin1", "iso8859-15", "cp1250", "iso8859-2", "cp1251", "koi8-r", "cp437", "cp850", "mac_roman", "cp1253", "cp1254", "cp866")
@@ -274,18 +278,19 @@ def scan(docs: DataFrame) -> DataFrame:
 
 
 def alternatives(units: DataFrame) -> DataFrame:
-    """(left, run, right, chain, restored) of each distinct unit; "intact" among them."""
+    """(uid, left, right, chain, restored) of each distinct unit; "intact" among them."""
+    cols = ["uid", "left", "right", "chain", "restored"]
 
     def go(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         c = Chains.get()
         for b in batches:
             rows = []
-            for x, y, w in zip(b["left"], b["run"], b["right"]):
-                rows.append((x, y, w, INTACT, y))
-                rows += [(x, y, w, chain, t) for chain, t in c.hypotheses(y)]
-            yield pd.DataFrame(rows, columns=["left", "run", "right", "chain", "restored"])
+            for i, x, y, w in zip(b["uid"], b["left"], b["run"], b["right"]):
+                rows.append((i, x, w, INTACT, y))
+                rows += [(i, x, w, chain, t) for chain, t in c.hypotheses(y)]
+            yield pd.DataFrame(rows, columns=cols)
 
-    return units.mapInPandas(go, "left string, run string, right string, chain string, restored string")
+    return units.mapInPandas(go, "uid long, left string, right string, chain string, restored string")
 
 
 def fitted(grams: DataFrame, alts: DataFrame, counts: DataFrame, own: DataFrame) -> DataFrame:
@@ -311,57 +316,75 @@ def fitted(grams: DataFrame, alts: DataFrame, counts: DataFrame, own: DataFrame)
 
 
 def judge(docs: DataFrame, rounds: int = ROUNDS) -> DataFrame:
-    """(doc_id, source, kind, left, run, right, n, chain, restored, posterior) of the best chain of each unit.
+    """(doc_id, source, kind, left, run, right, n, chain, restored, posterior) of every garbled unit.
 
     `docs` has doc_id, source, kind and text. Each round estimates from the posteriors of the last one: the share of
     every chain in each (source, kind), and the pair counts of the text as it was before it was garbled. Everything
-    grows with the distinct suspicious units, not with the texts.
+    grows with the distinct suspicious units, not with the texts, and the rounds carry numbers, not strings.
     """
     seen = cut(scan(docs))
-    counts = seen.where("doc_id is null").groupBy(F.col("run").alias("gram")).agg(F.sum("n").alias("n"))
-    units = seen.where("doc_id is not null")
+    counts = cut(seen.where("doc_id is null").groupBy(F.col("run").alias("gram")).agg(F.sum("n").cast("double").alias("n")))
+    rows = seen.where("doc_id is not null")
     keys, group = ["left", "run", "right"], ["source", "kind"]
+    gone = rows.where(F.instr("run", LOST_MARK) > 0).select("doc_id", *group, *keys, "n", F.lit(LOST).alias("chain"), F.lit("").alias("restored"), F.lit(1.0).alias("posterior"))
+    rows = rows.where(F.instr("run", LOST_MARK) == 0)
 
     @F.pandas_udf("array<string>")
     def grams_of(s: pd.Series) -> pd.Series:
         return s.map(pairs)
 
-    alts = alternatives(units.select(*keys).distinct()).withColumn("whole", F.concat("left", "restored", "right")).withColumn("grams", grams_of("whole"))
-    alts = alts.withColumn("plain", F.greatest(F.char_length("whole") - 1 - F.size("grams"), F.lit(0)) * F.lit(ASCII_PAIR))
-    alts = cut(alts.withColumn("id", F.monotonically_increasing_id()))
-    grams = alts.where(F.col("chain") != LOST).select("id", F.explode("grams").alias("gram")).groupBy("id", "gram").agg(F.count(F.lit(1)).alias("times"))
+    # Units get numbers: one join on their strings, none after it.
+    named = cut(rows.select(*keys).distinct().withColumn("uid", F.monotonically_increasing_id()))
+    units = cut(rows.join(named, keys).select("doc_id", *[F.coalesce(c, F.lit("")).alias("g_" + c) for c in group], *group, "uid", "n"))
+    group = ["g_source", "g_kind"]
+    alts = alternatives(named).withColumn("whole", F.concat("left", "restored", "right")).withColumn("grams", grams_of("whole"))
+    alts = alts.withColumn("plain", F.greatest(F.char_length("whole") - 1 - F.size("grams"), F.lit(0)) * (F.lit(ASCII_PAIR) + F.when(F.col("chain").startswith("utf-8>utf-16"), WIDE_CREDIT).otherwise(0.0)))
+    alts = cut(alts.select("uid", "chain", "restored", "plain", "grams").withColumn("id", F.monotonically_increasing_id()))
+    grams = alts.select("id", F.explode("grams").alias("gram")).groupBy("id", "gram").agg(F.count(F.lit(1)).alias("times"))
     grams = cut(grams.withColumn("second", F.substring("gram", 2, 1)))
-    alts = alts.drop("grams", "whole")
+    numbers = alts.select("id", "uid", "chain", "plain")
     # What a unit says does not depend on its document: units are pooled per group before the rounds.
-    named = {c: F.coalesce(c, F.lit("")) for c in group}
-    pooled = cut(units.withColumns(named).groupBy(*group, *keys).agg(F.sum("n").alias("n")))
-    told = cut(pooled.join(alts, keys).select(*group, *keys, "n", "id", "chain", "restored"))
+    pooled = units.groupBy(*group, "uid").agg(F.sum("n").alias("n"))
+    told = cut(pooled.join(numbers, "uid").select(*group, "uid", "n", "id", "chain"))
+    intact = cut(told.where(F.col("chain") == INTACT).groupBy("id").agg(F.sum("n").cast("double").alias("w")))
     # Pairs outside the suspicious units, which no round changes.
-    intact = cut(told.where(F.col("chain") == INTACT).groupBy("id").agg(F.sum("n").alias("w")))
     inside = grams.join(intact, "id").groupBy("gram").agg(F.sum(F.col("times") * F.col("w")).alias("m"))
-    outside = cut(counts.join(inside, "gram", "left").select("gram", (F.col("n") - F.coalesce("m", F.lit(0))).cast("double").alias("n")))
+    outside = cut(counts.join(inside, "gram", "left").select("gram", (F.col("n") - F.coalesce("m", F.lit(0.0))).alias("n")))
     first = F.when(F.col("chain") == INTACT, 1.0).when(F.col("chain").startswith("utf-8>"), PRIOR_UTF8).otherwise(PRIOR_OTHER)
-    beliefs, now, own = None, counts, intact.select("id", F.col("w").cast("double").alias("w"))
-    unit, whole = Window.partitionBy(*group, *keys), Window.partitionBy(*group)
+    beliefs, now, own = None, counts, intact
+    unit, whole = Window.partitionBy(*group, "uid"), Window.partitionBy(*group)
     for r in range(rounds):
-        known = told.join(fitted(grams, alts, now, own).select("id", "fit"), "id")
+        fit = fitted(grams, numbers, now, own).select("id", "uid", "chain", "fit")
+        if r == 0:
+            fit = cut(fit)
+            # Alternatives that evidence has ruled out, and the units left without any, leave the rounds.
+            best = fit.where(F.col("chain") == INTACT).select("uid", F.col("fit").alias("base"))
+            live = fit.where(F.col("chain") != INTACT).join(best, "uid").where(F.col("fit") > F.col("base") - HOPELESS).select("id", "uid")
+            live = cut(live)
+            some = live.select("uid").distinct()
+            kept = live.select("id").unionByName(fit.where(F.col("chain") == INTACT).join(some, "uid", "left_semi").select("id"))
+            kept = cut(kept)
+            settled = intact.join(kept, "id", "left_anti")
+            outside = cut(outside.unionByName(grams.join(settled, "id").groupBy("gram").agg(F.sum(F.col("times") * F.col("w")).alias("n"))).groupBy("gram").agg(F.sum("n").alias("n")))
+            grams, told, numbers = cut(grams.join(kept, "id", "left_semi")), cut(told.join(kept, "id", "left_semi")), cut(numbers.join(kept, "id", "left_semi"))
+        known = told.join(fit.select("id", "fit"), "id")
         known = known.withColumn("belief", first) if beliefs is None else known.join(beliefs, [*group, "chain"], "left").withColumn("belief", F.coalesce("belief", first))
-        known = known.withColumn("weight", F.when(F.col("chain") == LOST, 1e9).otherwise(F.log("belief") + F.col("fit")))
+        known = known.withColumn("weight", F.log("belief") + F.col("fit"))
         known = known.withColumn("p", F.exp(F.greatest(F.col("weight") - F.max("weight").over(unit), F.lit(-60.0))))
-        known = cut(known.withColumn("p", F.col("p") / F.sum("p").over(unit)))
+        known = known.withColumn("p", F.col("p") / F.sum("p").over(unit))
         if r == rounds - 1:
             break
+        known = cut(known.select(*group, "uid", "id", "chain", "n", "p"))
         mass = known.groupBy(*group, "chain").agg(F.sum(F.col("p") * F.col("n")).alias("mass")).withColumn("all", F.sum("mass").over(whole))
         beliefs = cut(mass.select(*group, "chain", ((F.col("mass") + WEIGHT * first) / (F.col("all") + WEIGHT)).alias("belief")))
         own = cut(known.groupBy("id").agg(F.sum(F.col("p") * F.col("n")).alias("w")))
-        expected = grams.join(own, "id").groupBy("gram").agg(F.sum(F.col("times") * F.col("w")).alias("m"))
-        now = cut(outside.unionByName(expected.withColumnRenamed("m", "n")).groupBy("gram").agg(F.sum("n").alias("n")))
-    rank = Window.partitionBy(*group, *keys).orderBy(F.col("p").desc(), "chain", "restored")
-    best = known.withColumn("rank", F.row_number().over(rank)).where("rank = 1").select(
-        F.col("source").alias("g_source"), F.col("kind").alias("g_kind"), *keys, "chain", "restored", F.col("p").alias("posterior")
-    )
-    mine = units.withColumns({"g_source": F.coalesce("source", F.lit("")), "g_kind": F.coalesce("kind", F.lit(""))})
-    return mine.join(best, ["g_source", "g_kind", *keys]).drop("g_source", "g_kind")
+        expected = grams.join(own, "id").groupBy("gram").agg(F.sum(F.col("times") * F.col("w")).alias("n"))
+        now = cut(outside.unionByName(expected).groupBy("gram").agg(F.sum("n").alias("n")))
+    rank = Window.partitionBy(*group, "uid").orderBy(F.col("p").desc(), "chain", "id")
+    best = known.withColumn("rank", F.row_number().over(rank)).where((F.col("rank") == 1) & (F.col("chain") != INTACT)).select(*group, "uid", "id", F.col("p").alias("posterior"))
+    best = best.join(alts.select("id", "chain", "restored"), "id").join(named, "uid").drop("id")
+    mine = units.join(best, [*group, "uid"])
+    return mine.select("doc_id", "source", "kind", *keys, "n", "chain", "restored", "posterior").unionByName(gone)
 
 
 def garbled(judged: DataFrame) -> DataFrame:
