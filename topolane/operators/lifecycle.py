@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import json
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -83,3 +86,31 @@ def route(harness: Column, event: Column) -> Column:
             hit = (harness == h) & (event == e)
             out = F.when(hit, meaning) if out is None else out.when(hit, meaning)
     return out
+
+
+def find_key(raw: Column, names: list[str]) -> Column:
+    """First scalar under any of the names anywhere in a JSON text, as JSON text; null if there is none or it is no JSON."""
+    wanted = set(names)
+
+    def look(value: object) -> object:
+        if isinstance(value, dict):
+            for k, v in value.items():
+                if k in wanted and not isinstance(v, (dict, list)) and v is not None:
+                    return v
+        for v in value.values() if isinstance(value, dict) else value if isinstance(value, list) else ():
+            if (got := look(v)) is not None:
+                return got
+        return None
+
+    def one(text: str | None) -> str | None:
+        try:
+            got = look(json.loads(text))
+        except (ValueError, TypeError, RecursionError):
+            return None
+        return None if got is None else json.dumps(got)
+
+    @F.pandas_udf("string")
+    def found(s: pd.Series) -> pd.Series:
+        return s.map(one)
+
+    return found(raw)
