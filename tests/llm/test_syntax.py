@@ -7,11 +7,11 @@ GOOD = {
     "rs": ["", "/* a /* b */ c */", "use a::{B, c};\n#[derive(Debug)]\npub struct S<'a> { pub x: &'a str }\nimpl<'a> S<'a> { fn f(&self) -> Option<Vec<u8>> { let c = '\\''; match c { '{' => None, _ => Some(vec![1u8; 3]) } } }\n", 'fn f() { let s = r#"{ "a": [ "#; for i in 0..n { g::<u64>(i)?; } }', "const X: &str = \"a\";\nstatic Y: [u8; 2] = [1, 2];\nmacro_rules! m { () => {}; }\nmod t;\n"],
     "ts": ["", "import { a } from './a';\nexport async function f(x: any, n: number = 1): Promise<any> {\n  const r = /[({]+\\/x/g;\n  return x as unknown as Array<number>;\n}\nexport interface I { a?: number[]; b?: () => void; }\nexport type T = { a: string } | null;\n", "export const o: string = `a ${b ? `c` : d} e`;\nexport class A { async m(x: number) { if (!x) { return 1; } x?.y?.(2) ?? 'z'; return x; } }\n"],
     "js": ["", "import a from 'b'\nexport class A extends B { async m(x) { a.map((x) => x * 1); return x < 2 ? 'p' : x; } }\nfor (const x of q) { f(x, 1); }\nexport default { 'k': \"v\", n: 3 };\n", "/* <<<<<<< HEAD */ let o = { a: 1, 'b c': [2] }\nif (a) b(); else c()\n"],
-    "go": ["package a\n", "package a\n\nimport (\n\t\"fmt\"\n)\n\ntype S struct {\n\tA []byte\n\tM map[string]int\n}\n\nfunc (s *S) f(a []int, n int) (int, error) {\n\tfor i := 0; i < n; i++ {\n\t\ta = append(a, i)\n\t}\n\tswitch n {\n\tcase '{':\n\t\tg()\n\tdefault:\n\t}\n\tgo func() { c <- 1 }()\n\treturn n, nil\n}\n"],
-    "java": ["", "package a.b;\nimport c.*;\npublic class A<T> extends B implements C {\n  @Override\n  private int f(String s, int n) throws E { int[] t = {1, 2}; var x = (int) n; try { g(); } catch (E e) { } l.forEach(y -> h(y)); return n; }\n  String s = \"\"\"\n   a \" b\n   \"\"\";\n}\n"],
-    "c": ["", "#include <a.h>\n#define X(a) \\\n  (a)\nstruct s { int a; };\ntypedef struct s t;\nstatic int f(struct s *p, int n) { char c = '{'; for (int i = 0; i < n; i++) { g(p->a, i); } switch (n) { case 1: break; default: break; } return n ? 1 : 0; }\nint a[] = {1, 2};\n"],
-    "xml": ['<?xml version="1.0"?>\n<!-- c --><a b="c"><d/>x &amp; <![CDATA[ <<<<<<< ]]></a>\n'],
-    "yaml": ["", "a:\n  b: 1\n  c:\n    - x\n    - y: [1, 2]\n  d: |\n    <<<<<<< x\n    y\nseq:\n- 1\n- 2\n", "k: \"a: b\"\n# c\nl: 'it''s'\nm: {a: 1,\n  b: 2}\n"],
+    "go": ["// only a comment\n", "\n\n", "package a\n", "package a\n\nimport (\n\t\"fmt\"\n)\n\ntype S struct {\n\tA []byte\n\tM map[string]int\n}\n\nfunc (s *S) f(a []int, n int) (int, error) {\n\tfor i := 0; i < n; i++ {\n\t\ta = append(a, i)\n\t}\n\tswitch n {\n\tcase '{':\n\t\tg()\n\tdefault:\n\t}\n\tgo func() { c <- 1 }()\n\treturn n, nil\n}\n"],
+    "java": ["", "// c", "package a.b;\nimport c.*;\npublic class A<T> extends B implements C {\n  @Override\n  private int f(String s, int n) throws E { int[] t = {1, 2}; var x = (int) n; try { g(); } catch (E e) { } l.forEach(y -> h(y)); return n; }\n  String s = \"\"\"\n   a \" b\n   \"\"\";\n}\n"],
+    "c": ["", "/* c */", "#include <a.h>\n#define X(a) \\\n  (a)\nstruct s { int a; };\ntypedef struct s t;\nstatic int f(struct s *p, int n) { char c = '{'; for (int i = 0; i < n; i++) { g(p->a, i); } switch (n) { case 1: break; default: break; } return n ? 1 : 0; }\nint a[] = {1, 2};\n"],
+    "xml": ["<!-- only -->\n", " \n", '<?xml version="1.0"?>\n<!-- c --><a b="c"><d/>x &amp; <![CDATA[ <<<<<<< ]]></a>\n'],
+    "yaml": ["", "# c\n", "a:\n  b: 1\n  c:\n    - x\n    - y: [1, 2]\n  d: |\n    <<<<<<< x\n    y\nseq:\n- 1\n- 2\n", "k: \"a: b\"\n# c\nl: 'it''s'\nm: {a: 1,\n  b: 2}\n"],
     "properties": ["anything <<<<<<< goes {{{"],
 }
 BAD = {

@@ -791,8 +791,8 @@ def defects(files: DataFrame) -> DataFrame:
         state = F.when(left.rlike(r"[()\[\]{}X<>]"), "nesting").when(~left.rlike(top_regex(lang)), "production")
         text = F.when(F.col("lang") == lang, state) if text is None else text.when(F.col("lang") == lang, state)
     tags = F.aggregate(F.sequence(F.lit(0), F.col("depth")), F.col("kinds"), lambda acc, _: F.regexp_replace(acc, r"\([etm]*\)", "e"))
-    text = text.when(F.col("lang") == "xml", F.when(~tags.rlike(r"^p?m*(?:om*)?em*$") & (F.col("kinds") != ""), "production"))
-    structure = tokens.where("error is null").select("file_id", text.alias("defect")).where("defect is not null")
+    text = text.when(F.col("lang") == "xml", F.when(~tags.rlike(r"^p?m*(?:om*)?em*$|^m*$"), "production"))
+    structure = tokens.where("error is null and kinds <> ''").select("file_id", text.alias("defect")).where("defect is not null")
     return found.unionByName(structure).distinct()
 
 
