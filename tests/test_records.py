@@ -81,3 +81,11 @@ def test_unified(spark):
     df = hooks(spark, [(1, 1, [{"conversation_id": "s", "tool_response": {"output": {"text": "x", "bytes": 1}, "exit_code": "7"}}, {"sessionId": 5, "exitCode": 1.0, "succeeded": True}, "cut {", None])])
     got = [(r.readable, r.u_session_id, r.u_output, r.u_exit_code, r.u_success) for r in drift.unified(df).orderBy("line_no").collect()]
     assert got == [(True, "s", "x", 7, None), (True, "5", None, 1, True), (False, None, None, None, None), (False, None, None, None, None)]
+
+
+def test_alias_learned_from_many_feeds(spark):
+    feeds = [(f, n, [{"qqq": 1, "keep": 1} if n == 1 else {"zzz": 1, "keep": 1}]) for f in range(6) for n in (1, 2)]
+    feeds += [(10, 1, [{"keep": 1, "www": 1}]), (10, 2, [{"keep": 1, "vvv": 1}])]
+    got = found(hooks(spark, feeds))
+    assert [g for g in got if g[0] < 6] == [(f, 2, "renamed", "qqq", "zzz") for f in range(6)]
+    assert [g for g in got if g[0] == 10] == [(10, 2, "added", "vvv", ""), (10, 2, "removed", "www", "")]

@@ -2,7 +2,8 @@
 
 Each readable line is reduced on the JVM to its schema (a "footer"); footers are counted per file with map-side
 aggregation, and only the few distinct ones per file are exploded to (field, type) rows. Lifespans come from windows
-over the files of a feed (first, last, next file), renamings from an alias table, casts from the same table.
+over the files of a feed (first, last, next file), renamings from an alias table and from names that begin where the same
+other name ends in many feeds, casts from the same table.
 
 Cases: a line that is no JSON object (null, cut off, empty, a bare array or number) has no fields but its file still
 counts; a null file number or feed makes a group of its own; repeated and late lines change nothing; null values do not
@@ -25,7 +26,7 @@ ALIASES: dict[str, tuple[str, ...]] = {
     "hook_event_name": ("hook_event_name", "event_name", "hookEventName", "hook.event", "event"),
     "cwd": ("cwd", "working_dir", "workdir", "project_dir", "workspace", "workspace_roots"),
     "tool_name": ("tool_name", "toolName", "function_name", "tool", "name"),
-    "tool_use_id": ("tool_use_id", "toolUseId", "call_id"),
+    "tool_use_id": ("tool_use_id", "toolUseId", "call_id", "use_id"),
     "file_path": (
         "tool_input.file_path", "tool_input.filePath", "tool_input.path", "tool_input.absolute_path", "tool_input.target_file",
         "file_path", "filePath", "path", "edit.file_path",
@@ -52,6 +53,9 @@ ALIASES: dict[str, tuple[str, ...]] = {
     "permission_mode": ("permission_mode", "permissionMode"),
 }
 
+#: An alias is learned from the feeds if a new name meets the same ending name in so many of them, and in this share of its births.
+LEAST_FEEDS, LEAST_SHARE = 5, 0.5
+
 TYPES = {"STRING": "string", "BOOLEAN": "boolean", "VOID": "null", "DATE": "string", "BINARY": "string", "UUID": "string"}
 
 
@@ -217,10 +221,21 @@ def changes(lines: DataFrame) -> DataFrame:
     s = s.withColumn("meaning", F.coalesce("m2", folded(F.col("new_field"))))
     e = e.withColumn("meaning", F.coalesce("m1", folded(F.col("field"))))
     pair = e.join(s, ["feed_id", "file_no", "meaning"])
-    w1 = Window.partitionBy("feed_id", "file_no", "field").orderBy(F.col("r2").asc_nulls_last(), "new_field")
-    w2 = Window.partitionBy("feed_id", "file_no", "new_field").orderBy(F.col("r1").asc_nulls_last(), "field")
-    pair = pair.withColumns({"a": F.row_number().over(w1), "b": F.row_number().over(w2)}).where("a = 1 and b = 1")
-    renamed = pair.select("feed_id", "file_no", F.lit("renamed").alias("change"), "field", "new_field")
+    one_to_one = lambda df, r1, r2: (
+        df.withColumns({
+            "a": F.row_number().over(Window.partitionBy("feed_id", "file_no", "field").orderBy(r2, "new_field")),
+            "b": F.row_number().over(Window.partitionBy("feed_id", "file_no", "new_field").orderBy(r1, "field")),
+        }).where("a = 1 and b = 1").select("feed_id", "file_no", F.lit("renamed").alias("change"), "field", "new_field")
+    )
+    told = cut(one_to_one(pair, F.col("r1").asc_nulls_last(), F.col("r2").asc_nulls_last()))
+    # Names that the table lacks: a name that is mostly born where the same other name ends, in several feeds, is its alias.
+    open_start = start.join(told.select("feed_id", "file_no", "new_field"), ["feed_id", "file_no", "new_field"], "left_anti")
+    open_end = end.join(told.select("feed_id", "file_no", "field"), ["feed_id", "file_no", "field"], "left_anti")
+    met = cut(open_end.join(open_start, ["feed_id", "file_no"]))
+    births = start.groupBy("new_field").agg(F.count(F.lit(1)).alias("births"))
+    learned = met.groupBy("field", "new_field").agg(F.count(F.lit(1)).alias("together")).join(births, "new_field")
+    learned = learned.where((F.col("together") >= LEAST_FEEDS) & (F.col("together") >= LEAST_SHARE * F.col("births"))).select("field", "new_field", "together")
+    renamed = told.unionByName(one_to_one(met.join(learned, ["field", "new_field"]), F.col("together").desc(), F.col("together").desc()))
     added = start.join(renamed.select("feed_id", "file_no", "new_field"), ["feed_id", "file_no", "new_field"], "left_anti")
     removed = end.join(renamed.select("feed_id", "file_no", "field"), ["feed_id", "file_no", "field"], "left_anti")
     retyped = cat.where("type_first <> born").select("feed_id", F.col("type_first").alias("file_no"), "field").distinct()
