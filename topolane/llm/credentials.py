@@ -1,9 +1,10 @@
 """Credentials embedded in source code and tool records: find them and mask them, leaving the code around them as it was.
 
-Quoted strings and long tokens are taken from each text together with what stands before them (a name, a header, an
-option, a URL). A candidate counts if its Shannon entropy, relative to the alphabet it is written in, is above a threshold
-adjusted to its length; how much is asked depends on the evidence of the context, from the fixed form of a vendor's
-token down to a mere name. Placeholders, masked values, references, hashes, ids, public keys and certificates are left out.
+Every quoted string and every long token is a candidate. It counts if its Shannon entropy, relative to the alphabet it is
+written in, is above a threshold adjusted to its length and its kinds of characters change as in generated text
+(`generated`). What stands before it (a name, a header, an option, a URL) or the fixed form of a vendor's token only lowers
+what is asked; a password in a URL and a private key need no entropy, since their place says what they are. Placeholders,
+masked values, references, hashes, ids, public keys and certificates are left out.
 
 Cases: null, empty and unreadable texts have no credential; several on one line give one row; a credential divided into
 joined literals, or running over several lines, counts where it begins; texts of any length are read whole; repeated
@@ -19,6 +20,7 @@ import math
 import re
 from collections import Counter
 from collections.abc import Iterator
+from functools import lru_cache
 from typing import NamedTuple
 
 import pandas as pd
@@ -29,9 +31,9 @@ MASK = "[REDACTED]"
 
 #: Forms of tokens that vendors publish.
 VENDOR = re.compile(
-    r"AKIA[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{36}|glpat-[\w\-]{20}|npm_[A-Za-z0-9]{36}|sk-[A-Za-z0-9_\-]{32,}|xox[abprs]-[0-9A-Za-z\-]{20,}|AIza[\w\-]{35}|eyJ[\w\-]{8,}\.eyJ[\w\-]{8,}\.[\w\-]{16,}"
+    r"AKIA[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{36}|glpat-[\w\-]{20}|npm_[A-Za-z0-9]{36}|sk-[A-Za-z0-9_\-]{32,}|xox[abprs]-[0-9A-Za-z\-]{20,}|AIza[\w\-]{35}|github_pat_\w{22,}|[rs]k_(?:live|test)_[A-Za-z0-9]{16,}|hf_[A-Za-z0-9]{30,}|SG\.[\w\-]{16,}\.[\w\-]{16,}|eyJ[\w\-]{8,}\.eyJ[\w\-]{8,}\.[\w\-]{16,}"
 )
-VENDOR_START = re.compile(r"(?<![A-Za-z0-9])(?:AKIA|gh[pousr]_|glpat-|npm_|sk-|xox[abprs]-|AIza|eyJ)[\w.\-]*")
+VENDOR_START = re.compile(r"(?<![A-Za-z0-9])(?:AKIA|gh[pousr]_|glpat-|npm_|sk-|xox[abprs]-|AIza|github_pat_|[rs]k_(?:live|test)_|hf_|SG\.|eyJ)[\w.\-]*")
 JOINED = re.compile(r"""(["'])\s*(?:\+|\\\r?\n|\.\.|\.)?\s*[bru]?(["'])([\w.\-+/=!?$%#*@:]+)""")
 PRIVATE_KEY = re.compile(r"-----BEGIN (?:[A-Z0-9]+ )*PRIVATE KEY(?: BLOCK)?-----")
 KEY_END = re.compile(r"-----END (?:[A-Z0-9]+ )*PRIVATE KEY(?: BLOCK)?-----")
@@ -44,7 +46,7 @@ USER_OPTION = re.compile(r"""(?<=\s)(?:-u|--user)(?:=|\s+)(["']?)[^\s:"']+:([^\s
 SAID = re.compile(r"""(?i)\b(?:passwords?|passphrase|secret|api key|token|key)\s+(?:is\s+|was\s+)?(["'`]?)([^\s"'`,;]{6,})\1""")
 XML_PAIR = re.compile(r"""name\s*=\s*["']([\w.\-]+)["']\s+value\s*=\s*["']([^"'<>]*)["']""")
 WORDS = ("pass", "pwd", "secret", "token", "key", "credential")
-VENDOR_WORDS = ("AKIA", "ghp_", "gho_", "ghu_", "ghs_", "ghr_", "glpat-", "npm_", "sk-", "xox", "AIza", "eyJ")
+VENDOR_WORDS = ("AKIA", "ghp_", "gho_", "ghu_", "ghs_", "ghr_", "glpat-", "npm_", "sk-", "xox", "AIza", "github_pat_", "k_live_", "k_test_", "hf_", "SG.", "eyJ")
 NAME_END = re.compile(r"[\w.\-]*")
 REST = re.compile(
     r"""(["']?\]?)(?:\s*:\s*(?:&(?:'static\s+)?)?(?:(?:str|string|String|any|char)\b|\[u8\])(?:\s*\[\])?)?\s*(?::=|=>|=|:|>|(?=[ \t]+["']))[ \t]*\(?\s*(?:[brfu]|\\)?(?:(["'`])((?:(?!\2)[^\n\\]|\\.)*)\2)"""
@@ -60,6 +62,20 @@ HASH = re.compile(r"^(?:(?:sha\d*|md5|blake\w*)[-:])|^\$2[aby]\$|^ssh-|^AAAA[BC]
 #: Bits for each character that a random text in the alphabet has.
 ALPHABETS = ((re.compile(r"^[0-9]+$"), 3.32), (re.compile(r"^[0-9a-f\-]+$|^[0-9A-F\-]+$"), 4.0), (re.compile(r"^[A-Z2-7=]+$"), 5.0), (re.compile(r"^[A-Za-z0-9+/=_\-]+$"), 6.0), (re.compile(r""), 6.5))
 
+#: Candidates of any context: a literal without white space, a long token, and a token that begins joined literals.
+LITERAL = re.compile(r"""(["'`])([^\s"'`<>\\]{16,})(?=\1)""")
+LONG = re.compile(r"""[A-Za-z0-9+/_\-.~]{20,}=*|[A-Za-z0-9+/_\-.~]{6,}=*(?=["']\s*(?:\+|\\\r?\n|\.\.|\.)\s*[bru]?["'])""")
+PEM = re.compile(r"-----BEGIN [A-Z0-9 ]+-----.*?(?:-----END [A-Z0-9 ]+-----|\Z)", re.S)
+#: What stands before a hash, an id, a public value or embedded data.
+NOT_SECRET = re.compile(r"""(?i)(?:hash|sha-?\d*|digest|checksum|integrity|etag|md5|fingerprint|commit|revision|nonce|signature|(?:^|[^a-z])(?:rev|sig|sri|ref)|(?:^|[^a-z])u?u?id|_id|guid|cert(?:ificate)?|public_?key|cursor)s?["'\]]{0,2}\s*(?:[:=]{1,2}>?|\s)\s*[bru]?["'`]?$|(?-i:[a-z]Id)["'\]]{0,2}\s*[:=]\s*["'`]?$|base64,$|sha\d+[-:]$|ssh-\w+\s+$""")
+ID_START = re.compile(r"^(?:toolu|call|msg|req|resp|run|thread|sess|session|chatcmpl|evt|file|step|asst|item|conv|trace|span)[_\-]")
+ULID = re.compile(r"^[0-7][0-9A-HJKMNP-TV-Z]{25}$")
+BINARY = re.compile(r"^(?:iVBORw0KGgo|/9j/|R0lGOD|UEsDB|JVBERi0|AGFzbQ|H4sI|PHN2Zy|d09GM)")
+#: Sizes of the sets of characters that a generated text is drawn from.
+CHARACTERS = ((26, re.compile("[a-z]")), (26, re.compile("[A-Z]")), (10, re.compile("[0-9]")), (2, re.compile(r"[^A-Za-z0-9]")))
+PARTS = re.compile(r"[A-Za-z0-9]+")
+WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])|\d+")
+
 
 class Span(NamedTuple):
     start: int
@@ -79,6 +95,16 @@ def random_enough(s: str, share: float) -> bool:
     return entropy(s) >= share * min(bits, math.log2(len(s))) if len(s) > 1 else False
 
 
+@lru_cache(maxsize=4096)
+def expected_entropy(n: int, k: int) -> float:
+    """Bits for each character that n even draws from k characters show on average."""
+    p, out = (1 - 1 / k) ** n, 0.0
+    for c in range(1, min(n, 40 + 4 * n // k)):
+        p *= (n - c + 1) / c / (k - 1)
+        out -= k * p * c / n * math.log2(c / n)
+    return out
+
+
 def harmless(s: str) -> bool:
     return bool(REFERENCE.search(s) or PLACEHOLDER.search(s) or HASH.search(s))
 
@@ -103,6 +129,33 @@ def like_token(s: str) -> bool:
     return random_enough(s, 0.72)
 
 
+def generated(s: str, least: int = 20) -> bool:
+    """A generated secret by itself, whatever stands around it.
+
+    Beside the entropy, the kind of character (lower, upper, digit) must change nearly as often as in random text: the
+    entropy of a short identifier of many different letters is as high.
+    """
+    if len(s) < least:
+        return False
+    size = sum(n for n, p in CHARACTERS if p.search(s))
+    if entropy(s) < 0.9 * expected_entropy(min(len(s), 1000), size) or harmless(s) or UUID.match(s) or ULID.match(s) or ID_START.match(s) or BINARY.match(s):
+        return False
+    if any(not c.isalnum() and c not in "+/=_-.~" for c in s):
+        kinds = ["l" if c.islower() else "U" if c.isupper() else "9" if c.isdigit() else "!" for c in s]
+        return len(set(kinds)) == 4 and not re.search(r"[()\[\]{}|^,;]|://", s) and sum(a != b for a, b in zip(kinds, kinds[1:])) >= 0.5 * len(s)
+    parts = PARTS.findall(s)
+    if not parts or max(map(len, parts)) < 10 or re.fullmatch(r"[0-9a-f\-:]+|[0-9A-F\-:]+", s):
+        return False
+    kinds = [["l" if c.islower() else "U" if c.isupper() else "9" for c in p] for p in parts]
+    n, turns = sum(map(len, kinds)), sum(a != b for k in kinds for a, b in zip(k, k[1:]))
+    found = {c for k in kinds for c in k}
+    if "U" in found and len(re.findall(r"\d+", s)) < 2 and n >= 3 * len(WORD.findall(s)):
+        return False  # words joined to a name
+    if len(found) == 3:
+        return turns >= 0.35 * n
+    return turns >= (0.4 if found == {"l", "U"} else 0.3) * n and len(found) == 2
+
+
 def said_aloud(word: str, s: str) -> bool:
     """A value that follows the bare word in prose."""
     if like_token(s):
@@ -189,9 +242,36 @@ def find(text: str) -> list[Span]:
                     out.append(Span(m.start(3), end if more else m.end(3), "named"))
             elif (m := REST_PLAIN.match(text, z)) and _named(name, m[1].rstrip(".")):
                 out.append(Span(m.start(1), m.end(1), "named"))
+    out += _bare(text, out)
     return sorted(set(out))
 
 
+def _bare(text: str, known: list[Span]) -> Iterator[Span]:
+    """Every literal and long token that is generated text by itself, in no span of `known` and no PEM block."""
+    taken = sorted([(s.start, s.end) for s in known] + ([m.span() for m in PEM.finditer(text)] if "-----BEGIN" in text else []))
+    for pattern, group, least in ((LITERAL, 2, 16), (LONG, 0, 20)):
+        for m in pattern.finditer(text):
+            a, z = m.span(group)
+            if HASH.search(m[group]):
+                continue
+            quote = text[a - 1 : a]
+            more, end = _joined(text, z) if quote and quote in "\"'" and text[z : z + 1] == quote else ("", z)
+            for start, value in _values(m[group] + more, a) if not more else [(a, m[group] + more)]:
+                stop = end if more else start + len(value)
+                if generated(value, least if quote and quote in "\"'`" else 20) and not NOT_SECRET.search(text[max(0, start - 40) : start]):
+                    if not any(x < stop and start < y for x, y in taken):
+                        yield Span(start, stop, "generated")
+
+
+def _values(token: str, at: int) -> Iterator[tuple[int, str]]:
+    """(start, value) of the token itself, and of its parts if it is a path, an address, a query or an assignment."""
+    if not re.search(r"[:?&,;]|=(?=[^=])|^[./~]|/.*\.|^\w+\.\w+\.", token) and not token.startswith("//"):
+        yield at, token.rstrip(".")
+        return
+    for m in re.finditer(r"[^:?&,;/=.]{16,}=*", token):
+        yield at + m.start(), m[0]
+
+
 def _named(name: str, value: str) -> bool:
     n = re.sub(r"[^a-z0-9]", "", name.rsplit(".", 1)[-1].lower())
     if NO_NAME.search(n):
