@@ -52,3 +52,14 @@ def test_hypotheses():
     c = E.Chains.get()
     assert ("utf-8>cp1252", "ó") in c.hypotheses("Ã³") and c.hypotheses("é") in ([], c.hypotheses("é")) and c.hypotheses("a�")[0][0] == E.LOST
     assert dict((a, b) for a, b in c.hypotheses("獵牥›桔"))["utf-8>utf-16-le"] == "user: Th"
+
+
+def test_text_beside_a_lost_character(spark):
+    clean = "结果取决于行的顺序"
+    bad = clean.encode().decode("gb18030", "replace")
+    assert "\ue511" in bad and bad.endswith("\ufffd") and bad.count("\ufffd") == 1
+    assert ("utf-8>gbk", clean[:-1]) in E.Chains.get().hypotheses(bad[:-1], "", "\ufffd")
+    docs = table(spark, [("s0", "note", clean)] * 12 + [("s1", "note", bad)])
+    judged = E.cut(E.judge(docs))
+    fixed = {r.doc_id: r for r in E.restored(docs, judged).collect()}
+    assert fixed[1012].repaired == clean[:-1] + "\ufffd" and (fixed[1012].n_units, fixed[1012].n_lost) == (2, 1)

@@ -6,7 +6,7 @@ counted over the whole corpus, scores them; expectation-maximisation then learns
 and field, so that weak evidence in one record is judged by what its neighbours show, and every unit gets the
 posterior of its best chain. A document is a case if some unit's best chain is more probable than "intact".
 
-Replacement characters are cases that cannot be restored (chain "lost"). A back-tick quotation is no case if it is a lone
+Replacement characters are cases that cannot be restored (chain "lost"); the text on either side of one is judged by itself. A back-tick quotation is no case if it is a lone
 replacement character or if its restored form is quoted on the same line: such a text talks about garbled characters.
 
 Cases: null, empty and ASCII texts are intact; null sources and kinds are groups of their own; repeated texts are judged
@@ -53,7 +53,8 @@ WHOLE_WORDS = ("cp1251", "koi8-r", "cp866", "iso8859-5", "cp1253", "iso8859-7",
 #: Double-byte encodings read as a single-byte one.
 WIDE = ("shift_jis", "euc_jp", "gbk", "big5", "euc_kr")
 
-RUN = re.compile(r"[^\x00-\x7f](?:[\x40-\x7e]?[^\x00-\x7f])*[\x40-\x7e]?")
+#: A replacement character stands alone, so that the text on either side of it is a unit of its own.
+RUN = re.compile(r"\ufffd+|[^\x00-\x7f\ufffd](?:[\x40-\x7e]?[^\x00-\x7f\ufffd])*[\x40-\x7e]?")
 QUOTED = re.compile(r"`[^`\n]{1,200}`")
 WIDE_RUN = re.compile(r"[^\x00-\x7f]{3,}")
 ASCII_TEXT = re.compile("[ -~\t\r\n]{4,}")
@@ -68,6 +69,32 @@ def as_ascii(s: str, enc: str) -> str:
     return text if ASCII_TEXT.fullmatch(text) else s
 
 
+def through_gbk(s: str, cut_start: bool, cut_end: bool) -> str | None:
+    """`s` whose UTF-8 bytes were read as GBK, or None. gb18030 also has the private-use characters that readers put for
+    unassigned pairs. At a cut the bytes left of a lost character are dropped: the mark beside them stands for it."""
+    try:
+        data = s.encode("gb18030")
+    except UnicodeError:
+        return None
+    starts = [0]
+    if cut_start:
+        starts += range(1, 4)
+    for a in starts:
+        if any(b & 0xC0 != 0x80 for b in data[:a]):
+            break
+        for z in range(len(data), len(data) - (4 if cut_end else 1), -1):
+            rest = data[z:]
+            # What is dropped at the end must be the unfinished start of one character.
+            if rest and not (rest[0] >= 0xC2 and all(b & 0xC0 == 0x80 for b in rest[1:])):
+                continue
+            try:
+                text = data[a:z].decode("utf-8")
+            except UnicodeDecodeError:
+                continue
+            return text or None
+    return None
+
+
 def _table(enc: str) -> dict[str, int]:
     out = {}
     for b in range(128, 256):
@@ -96,7 +123,7 @@ class Chains:
             kind = lambda lo, hi: "[" + "".join(re.escape(c) for c, b in self.back[e].items() if lo <= b <= hi) + "]"  # noqa: B023, E731
             by = {"t": kind(0x80, 0xBF), "2": kind(0xC2, 0xDF), "3": kind(0xE0, 0xEF), "4": kind(0xF0, 0xF4)}
             self.pattern[e] = re.compile("(?:{2}{t}|{3}{t}{t}|{4}{t}{t}{t})+".replace("{t}", by["t"]).replace("{2}", by["2"]).replace("{3}", by["3"]).replace("{4}", by["4"]))
-        self.seen: dict[str, list[tuple[str, str]]] = {}
+        self.seen: dict[tuple[str, bool, bool], list[tuple[str, str]]] = {}
 
     @classmethod
     def get(cls) -> Chains:
@@ -131,14 +158,17 @@ class Chains:
         out = self.pattern[enc].sub(put, s)
         return out if changed else None
 
-    def hypotheses(self, run: str) -> list[tuple[str, str]]:
-        """(chain, restored) of a run; each restored text once, under the first chain that gives it."""
-        if (got := self.seen.get(run)) is not None:
+    def hypotheses(self, run: str, left: str = "", right: str = "") -> list[tuple[str, str]]:
+        """(chain, restored) of a run; each restored text once, under the first chain that gives it. `left` and `right` are
+        its context: beside a replacement character the run may begin or end inside a character."""
+        cuts = left.endswith(LOST_MARK), right.startswith(LOST_MARK)
+        key = (run, *cuts)
+        if (got := self.seen.get(key)) is not None:
             return got
         out: dict[str, str] = {}
         if "�" in run:
             got = [(LOST, "")]
-            self.keep(run, got)
+            self.keep(key, got)
             return got
         for e in READ_AS:
             once = self.from_utf8(run, e)
@@ -147,17 +177,14 @@ class Chains:
                 twice = self.from_utf8(once, e)
                 if twice is not None and twice != once:
                     out.setdefault(twice, f"utf-8>{e} twice")
-        try:
-            whole = run.encode("gbk").decode("utf-8")
-            if whole != run:
-                out.setdefault(whole, "utf-8>gbk")
-        except UnicodeError:
+        whole = through_gbk(run, *cuts)
+        if whole is not None and whole != run:
+            out.setdefault(whole, "utf-8>gbk")
+        elif whole is None:
             for m in re.finditer(r"[　-鿿-￯]+", run):
-                try:
-                    part = m[0].encode("gbk").decode("utf-8")
+                part = through_gbk(m[0], cuts[0] and m.start() == 0, cuts[1] and m.end() == len(run))
+                if part is not None and part != m[0]:
                     out.setdefault(run[: m.start()] + part + run[m.end() :], "utf-8>gbk")
-                except UnicodeError:
-                    pass
         high = sum(ch >= "\x80" for ch in run)
         for written, read in LEGACY:
             # Greek and Cyrillic come in whole words, accents of the Latin script one or two at a time.
@@ -179,6 +206,13 @@ class Chains:
                         continue
                     out.setdefault(got_text, f"{e}>cp1252")
                     break
+                else:
+                    for part in [data[1:]] * cuts[0] + [data[:-1]] * cuts[1] + [data[1:-1]] * all(cuts):
+                        try:
+                            out.setdefault(part.decode(e), f"{e}>cp1252")
+                            break
+                        except UnicodeDecodeError:
+                            pass
         if high >= 3:
             for e in ("utf-16-le", "utf-16-be"):  # little-endian is what a reader assumes without a mark
                 text = WIDE_RUN.sub(lambda m: as_ascii(m[0], e), run)  # noqa: B023
@@ -186,14 +220,14 @@ class Chains:
                     out.setdefault(text, f"utf-8>{e}")
                     break
         got = [(c, t) for t, c in out.items()]
-        self.keep(run, got)
+        self.keep(key, got)
         return got
 
-    def keep(self, run: str, got: list) -> None:
+    def keep(self, key: tuple[str, bool, bool], got: list) -> None:
         if len(self.seen) >= 200_000:
             self.seen.clear()
-        if len(run) <= 64:
-            self.seen[run] = got
+        if len(key[0]) <= 64:
+            self.seen[key] = got
 
 
 def mentioned(text: str) -> list[tuple[int, int]]:
@@ -263,7 +297,7 @@ def scan(docs: DataFrame) -> DataFrame:
                     run = text[a:z]
                     left, right = text[max(0, a - 2) : a], text[z : z + 2]
                     counts.update(pairs(left + run + right))
-                    if c.hypotheses(run):
+                    if c.hypotheses(run, left, right):
                         units[(left, run, right)] += 1
                 rows += [(doc, source, kind, x, y, w, n) for (x, y, w), n in units.items()]
             if rows:
@@ -287,7 +321,7 @@ def alternatives(units: DataFrame) -> DataFrame:
             rows = []
             for i, x, y, w in zip(b["uid"], b["left"], b["run"], b["right"]):
                 rows.append((i, x, w, INTACT, y))
-                rows += [(i, x, w, chain, t) for chain, t in c.hypotheses(y)]
+                rows += [(i, x, w, chain, t) for chain, t in c.hypotheses(y, x, w)]
             yield pd.DataFrame(rows, columns=cols)
 
     return units.mapInPandas(go, "uid long, left string, right string, chain string, restored string")
