@@ -66,3 +66,18 @@ def test_lock_is_exclusive_and_stale_ones_fall(tmp_path):
 def test_find_key(spark):
     d = spark.createDataFrame([('{"a": [{"exit_code": 3}], "b": {"ok": true}}',), ("no",), (None,)], "raw string")
     assert [tuple(r) for r in d.select(find_key(F.col("raw"), ["exit_code", "exitCode"]).alias("c"), find_key(F.col("raw"), ["ok"]).alias("o")).collect()] == [("3", "true"), (None, None), (None, None)]
+
+
+def test_source_windows_of_all_symbols(spark):
+    import __spark_entry__
+    from topolane.plans.code import code_nodes
+
+    sf = "/root/testdata/sf0.001"
+    got = {r.node_id: r.source for r in __spark_entry__.queries()["source_windows"](spark, sf).collect()}
+    rows = code_nodes(spark, sf).where("kind <> 'file'").join(spark.read.parquet(f"{sf}/source_files.parquet").where("content is not null").select("file_id", "content"), "file_id").collect()
+    assert set(got) == {r.node_id for r in rows} and {"function", "class"} <= {r.kind for r in rows}
+    for r in rows:
+        lines, lo = r.content.replace("\r\n", "\n").split("\n"), max(r.start_line - 2, 1)
+        whole = "\n".join(f"{i} | {x}" for i, x in list(enumerate(lines, 1))[lo - 1 : r.end_line + 2][:220])[:7000]
+        assert got[r.node_id] == (whole if not r.path.lower().endswith((".yml", ".yaml", ".properties")) else "[configuration values are withheld]")
+    assert max(s.count("\n") for s in got.values()) >= 12

@@ -304,6 +304,15 @@ def source_window(spark, sf):
     return n.join(f, "file_id").select("node_id", search.source_window(F.col("content"), F.col("start_line"), F.col("end_line"), 12, 700).alias("source"))
 
 
+@query()
+def source_windows(spark, sf):
+    """Windows of all symbols with the production limits of the operator; those of configuration files are withheld."""
+    n = code_nodes(spark, sf).where("kind <> 'file'")
+    f = table(spark, sf, "source_files").select("file_id", "content").where("content is not null")
+    text = F.when(search.is_config_path(F.col("path")), "[configuration values are withheld]").otherwise(search.source_window(F.col("content"), F.col("start_line"), F.col("end_line")))
+    return n.join(f, "file_id").select("node_id", text.alias("source"))
+
+
 @query("WITH " + _NODES + ", h AS (SELECT DISTINCT node_id, start_line AS first, end_line - start_line + 1 AS size FROM nodes) SELECT node_id, first, first + greatest(size, 1) - 1 AS last FROM h")
 def hunk_parse(spark, sf):
     n = code_nodes(spark, sf)
