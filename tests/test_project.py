@@ -82,3 +82,15 @@ def test_incremental(spark, project):
     assert "leaf2" in got and "leaf" not in got - {"leaf"} | set() and "helper.py" not in {r.path for r in again.nodes.collect()}
     assert Project.open(spark, str(project.store)).nodes.count() == again.nodes.count()
     assert Project.open(spark, str(project.store) + "x") is None
+
+
+def test_change_records_anchors_and_trail(spark, project):
+    ranges = spark.createDataFrame([(str(project.root), "helper.py", 2, 2)], "repo string, path string, first int, last int")
+    rows = project.evidence("what changed in helper", ranges=ranges).collect()
+    changes = [r.text for r in rows if r.priority == 850]
+    assert any(t.startswith("change direct helper function helper.py") for t in changes) and any(t.startswith("change test") and "test_run" in t for t in changes)
+    assert any(t.startswith("change affected") and " run " in t for t in changes)
+    chosen, _, _ = project.selection("what changed in helper", 48)
+    assert sum(r.priority == 900 for r in rows) == min(12, sum(r["kind"] != "file" for r in chosen)) > sum(r["is_anchor"] and r["kind"] != "file" for r in chosen)
+    r = project.node("helper", "helper.py").where("kind = 'function'").first()
+    assert [x.split(" ")[0] for x in r.calls] == ["leaf"] and "run (app.py:2)" in r.callers

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import subprocess
 from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from topolane import INDEX_VERSION
@@ -13,9 +14,12 @@ from topolane.operators import graph, packet, render, search
 from topolane.operators.index import assemble
 from topolane.operators.select import select_subgraph
 from topolane.sources.extract import fragments
+from topolane.sources.git import changed_ranges
 from topolane.sources.index import IndexStore, scan
 
 MAX_INPUT = 10_000
+#: Lines of each sort that a packet of at most 2,000 tokens could hold.
+MAX_CHANGES = 200
 
 
 def check_input(value: str, most: int = MAX_INPUT) -> str:
@@ -110,12 +114,43 @@ class Project:
         hit = search.symbol_nodes(self.nodes, check_input(symbol), file)
         order = [F.abs(F.col("start_line") - line), "node_id"] if line is not None else ["node_id"]
         hit = hit.orderBy(*order).limit(limit)
+        hit = hit.join(self.trail(hit, False), "node_id", "left").join(self.trail(hit, True), "node_id", "left").orderBy(*order)
         if not code:
             return hit
         f = self.files.select("repo", "path", "content")
         text = F.when(search.is_config_path(F.col("path")), "[configuration values are withheld]").otherwise(search.source_window(F.col("content"), F.col("start_line"), F.col("end_line"), 240, 12000, 0))
         return hit.join(f, ["repo", "path"], "left").withColumn("source", text).drop("content")
 
+    def trail(self, roots: DataFrame, incoming: bool, most: int = 12) -> DataFrame:
+        """(node_id, callers or calls): the first `most` neighbours of each root over execution edges, as "label (path:line)"."""
+        a, b = ("dst", "src") if incoming else ("src", "dst")
+        near = self.edges.where(graph.is_execution() & (F.col("src") != F.col("dst"))).select(F.col(a).alias("node_id"), F.col(b).alias("other")).distinct()
+        near = near.join(roots.select("node_id").distinct(), "node_id", "left_semi")
+        told = self.nodes.select(F.col("node_id").alias("other"), F.format_string("%s (%s:%d)", "label", "path", "start_line").alias("at"))
+        rank = Window.partitionBy("node_id").orderBy("at")
+        near = near.join(told, "other").select("node_id", "at").distinct().withColumn("rn", F.row_number().over(rank)).where(F.col("rn") <= most)
+        return near.groupBy("node_id").agg(F.array_sort(F.collect_list("at")).alias("callers" if incoming else "calls"))
+
+    def worktree(self) -> DataFrame | None:
+        """Changed ranges of the indexed folders that are git work trees; None if there is none."""
+        out = None
+        for (root,) in self.files.select("repo").distinct().collect():
+            try:
+                got = changed_ranges(self.spark, root)
+            except (OSError, subprocess.CalledProcessError):
+                continue
+            out = got if out is None else out.unionByName(got)
+        return out
+
+    def change_lines(self, ranges: DataFrame) -> list[str]:
+        """Changed and affected symbols and ranked tests, a line each."""
+        direct, affected, tests = self.changes(ranges)
+        at = lambda r: f"{r.label} {r.kind} {r.path}:{r.start_line}-{r.end_line}"
+        out = [f"direct {at(r)}" for r in direct.orderBy("path", "start_line", "node_id").limit(MAX_CHANGES).collect()]
+        near = affected.where("kind not in ('file', 'import')").orderBy("distance", "path", "start_line", "node_id")
+        out += [f"affected {r.distance} {at(r)}" for r in near.limit(MAX_CHANGES).collect()]
+        return out + [f"test {r.distance} {r.label} {r.path}" for r in tests.limit(MAX_CHANGES).collect()]
+
     def file_view(self, name: str) -> tuple[DataFrame, DataFrame]:
         """(symbols of the matching files, files that depend on them)."""
         f = search.matching_files(self.files, check_input(name)).select("repo", "path")
@@ -162,16 +197,20 @@ class Project:
         anchors, relations = render.legend(rows, edges)
         return {"id": render.artifact_id(query), "svg": render.svg(rows, edges), "anchors": anchors, "relations": relations, "truncated": truncated}
 
-    def evidence(self, query: str, projection: str = "") -> DataFrame:
-        """Records (ord, id, priority, text) that answer a question: state, anchors, relations, source, next step."""
+    def evidence(self, query: str, projection: str = "", ranges: DataFrame | None = None) -> DataFrame:
+        """Records (ord, id, priority, text) that answer a question: state, anchors, changes, relations, source, next step.
+
+        `ranges` is what has changed (repo, path, first, last); without it git says so."""
         from topolane.functions.text import classify_intent
 
         rows, edges, truncated = self.selection(query, 48)
         intent = self.spark.range(1).select(classify_intent(F.lit(query)).alias("i")).first().i
-        anchors = [r for r in rows if r["is_anchor"] and r["kind"] != "file"][:12]
+        anchors = [r for r in rows if r["kind"] != "file"][:12]
         name = {r["node_id"]: f"A{i + 1}" for i, r in enumerate(anchors)}
         out = [("state", 1000, projection)] if projection else []
         out += [(name[r["node_id"]], 900, f"{name[r['node_id']]} {r['label']} {r['kind']} {r['path']}:{r['start_line']}-{r['end_line']}") for r in anchors]
+        if intent == "change" and (changed := self.worktree() if ranges is None else ranges) is not None:
+            out += [(f"C{i}", 850, f"change {line}") for i, line in enumerate(self.change_lines(changed), 1)]
         if intent in ("flow", "locate", "inspect"):
             out += [(f"{name[a]}-{k}-{name[b]}", 800, f"{name[a]} {k} {name[b]}") for a, b, k in sorted(set(edges)) if a in name and b in name and k != "contains"]
         if intent == "inspect":
@@ -181,10 +220,10 @@ class Project:
         out.append(("next", 100, "narrow the question" if truncated else "inspect an anchor"))
         return self.spark.createDataFrame([(i, *r) for i, r in enumerate(out)], "ord int, id string, priority int, text string")
 
-    def context(self, query: str, budget: int = 600, session: str | None = None, full: bool = False, projection: str = "") -> dict:
+    def context(self, query: str, budget: int = 600, session: str | None = None, full: bool = False, projection: str = "", ranges: DataFrame | None = None) -> dict:
         """One packet under a token budget; with a session only what it has not received yet."""
         budget = max(128, min(budget, 2000))
-        rows = self.evidence(query, projection).withColumn("digest", packet.evidence_digest(F.concat("id", F.lit("\x00"), "text")))
+        rows = self.evidence(query, projection, ranges).withColumn("digest", packet.evidence_digest(F.concat("id", F.lit("\x00"), "text")))
         had = set() if session is None or full else self.receipts.get(session, set())
         if had:
             rows = rows.where(~F.col("digest").isin(*had))
