@@ -1,732 +1,37 @@
 """Source files that do not parse.
 
-A file is lexed into token kinds (one character each, in a table of codes). Three checks follow, all on the JVM:
+Files are lexed (in Arrow batches) and exploded into rows of tokens: each bracket, with the kinds up to the next one. Then
 
-1. adjacent kinds are anti-joined against the pairs that the language's grammar permits (`permitted`, built by rule from
-   what may end and what may start an operand, a declaration or a statement);
-2. nesting is reduced from the inside out: each innermost bracket group, or indented block, is a window that is replaced by
-   one non-terminal if its content is admissible, as often as the file is deep;
-3. what is left must be a sequence of the language's top-level productions.
+1. adjacent kinds are anti-joined against the pairs that the language's grammar permits;
+2. nesting is reduced by windows over the rows of a file: a running sum gives the depth, and at every depth brackets must
+   open and close by turns, each closing one the one before it (tags with the same name, indentation likewise);
+3. every group, an innermost one or one whose groups are reduced to one letter each, must follow a production of its
+   language: statements, members, fields, literals, parameters (`grammar`).
 
-Lexical errors (an open string or comment, a character of no token) count as they are. The language is that of the
-path's extension; properties files are always valid, other extensions are not judged.
+The depth of a file and the length of a statement are bounded by nothing: no step recurses over the input. Lexical errors
+count as they are. The language is that of the path's extension; properties files are always valid, other extensions are
+not judged. A row costs one exchange by file, and no row holds more than one file's text.
 
 Cases: null and empty content, and files of comments only, are valid; both kinds of line ends are alike; a null path is
-not judged; rescans are judged each; very long files and deep nesting take time in proportion; extra columns are ignored.
+not judged; rescans are judged each, and so are repeated rows of one file_id; extra columns are ignored.
 """
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from topolane.llm.grammar import admissible, permitted
+from topolane.llm.lexer import CLOSE, END, GROUPS, KEYWORDS, LANGUAGES, OPEN, START, lex
 from topolane.session import cut
 
-#: Language by extension.
-LANGUAGES = {
-    "py": "python", "pyw": "python", "rs": "rust", "ts": "typescript", "mts": "typescript", "cts": "typescript", "js": "javascript",
-    "mjs": "javascript", "cjs": "javascript", "go": "go", "java": "java", "c": "c", "h": "c", "xml": "xml", "yaml": "yaml", "yml": "yaml", "properties": "properties",
-}
-
-#: Reserved words.
-KEYWORDS = {
-    "python": "False None True and as assert async await break class continue def del elif else except finally for from global if import in is lambda nonlocal not or pass raise return try while with yield",
-    "rust": "as async await break const continue crate dyn else enum extern false fn for if impl in let loop match mod move mut pub ref return self Self static struct super trait true type unsafe use where while",
-    "go": "break case chan const continue default defer else fallthrough for func go goto if import interface map package range return select struct switch type var",
-    "java": "abstract assert boolean break byte case catch char class const continue default do double else enum extends final finally float for goto if implements import instanceof int interface long native new package private protected public return short static strictfp super switch synchronized this throw throws transient try void volatile while true false null",
-    "c": "auto break case char const continue default do double else enum extern float for goto if inline int long register restrict return short signed sizeof static struct switch typedef union unsigned void volatile while _Bool",
-    "javascript": "as async from get of set static await break case catch class const continue debugger default delete do else export extends finally for function if import in instanceof let new return super switch this throw try typeof var void while with yield true false null",
-}
-#: Words that are reserved only in some places; elsewhere they are names.
-SOFT = {
-    "javascript": "as async from get of set static".split(),
-    "typescript": "as async from get of set static abstract asserts declare enum implements infer interface is keyof module namespace override private protected public readonly satisfies type unique".split(),
-    "python": ["case", "match"],
-}
-KEYWORDS["typescript"] = KEYWORDS["javascript"] + " " + " ".join(w for w in SOFT["typescript"] if w not in SOFT["javascript"])
-KEYWORDS["python"] += " case match"
-OPERATORS = {
-    "python": "**= //= >>= <<= ... != == <= >= -> := += -= *= /= %= &= |= ^= @= ** // << >> + - * / % @ & | ^ ~ < > = . , : ;",
-    "rust": "<<= >>= ..= ... :: -> => == != <= >= && || += -= *= /= %= ^= &= |= << >> .. + - * / % ^ ! & | < > = @ . , ; : # $ ?",
-    "go": "<<= >>= &^= ... && || <- ++ -- == != <= >= := += -= *= /= %= &= |= ^= << >> &^ + - * / % & | ^ < > = ! , ; . : ~",
-    "java": ">>>= <<= >>= >>> ... -> :: ++ -- && || == != <= >= += -= *= /= &= |= ^= %= << >> + - * / % & | ^ ! ~ < > = ? : ; , . @",
-    "c": "<<= >>= ... -> ++ -- && || == != <= >= += -= *= /= %= &= |= ^= << >> + - * / % & | ^ ! ~ < > = ? : ; , .",
-    "javascript": ">>>= **= <<= >>= >>> === !== &&= ||= ??= ... => ** ++ -- && || ?? ?. == != <= >= += -= *= /= %= &= |= ^= << >> + - * / % & | ^ ! ~ < > = ? : ; , . @ #",
-}
-OPERATORS["typescript"] = OPERATORS["javascript"]
-
-_WORDS = sorted({w for k in KEYWORDS.values() for w in k.split()} | {o for k in OPERATORS.values() for o in k.split()})
-#: Kind of every reserved word and operator; brackets stand for themselves, and the kinds below are those of other tokens.
-CODE = {w: chr(0xE000 + i) for i, w in enumerate(_WORDS)}
-IDENT, NUMBER, STRING, CHAR, DIRECTIVE, LIFETIME, REGEX, LINE, START, END = "i", "n", "s", "c", "d", "l", "r", "N", "^", "$"
-#: Non-terminals: reduced parentheses, square brackets, braces, indented block, and a group that is not admissible.
-PAREN, SQUARE, BRACE, BLOCK, BAD = "P", "B", "C", "S", "X"
-
-STRINGS = {
-    "python": r"(?:[rRbBfFuU]{0,2})(?:\"\"\"(?:[^\\]|\\.)*?\"\"\"|'''(?:[^\\]|\\.)*?'''|\"(?:[^\"\\\r\n]|\\\r?\n|\\.)*\"|'(?:[^'\\\r\n]|\\\r?\n|\\.)*')",
-    "rust": r"(?:br|cr|r)(?P<h>#*)\"(?:.*?)\"(?P=h)|[bc]?\"(?:[^\"\\]|\\.)*\"",
-    "go": r"`[^`]*`|\"(?:[^\"\\\r\n]|\\.)*\"",
-    "java": r"\"\"\"[ \t\f]*\r?\n(?:[^\\]|\\.)*?\"\"\"|\"(?:[^\"\\\r\n]|\\.)*\"",
-    "c": r"(?:u8|[uUL])?\"(?:[^\"\\\r\n]|\\\r?\n|\\.)*\"",
-    "javascript": r"\"(?:[^\"\\\r\n]|\\\r?\n|\\.)*\"|'(?:[^'\\\r\n]|\\\r?\n|\\.)*'",
-}
-STRINGS["typescript"] = STRINGS["javascript"]
-CHARS = {
-    "rust": r"b?'(?:[^'\\\r\n]|\\(?:x[0-9a-fA-F]{2}|u\{[0-9a-fA-F_]{1,8}\}|.))'",
-    "go": r"'(?:[^'\\\r\n]|\\(?:x[0-9a-fA-F]{2}|u[0-9a-fA-F]{4}|U[0-9a-fA-F]{8}|[0-7]{3}|.))'",
-    "java": r"'(?:[^'\\\r\n]|\\(?:u+[0-9a-fA-F]{4}|[0-7]{1,3}|.))'",
-    "c": r"(?:u8|[uUL])?'(?:[^'\\\r\n]|\\.)+'",
-}
-NUMBERS = {
-    "python": r"(?:0[xX][0-9a-fA-F_]+|0[bB][01_]+|0[oO][0-7_]+|(?:[0-9][0-9_]*\.?[0-9_]*|\.[0-9][0-9_]*)(?:[eE][+\-]?[0-9_]+)?[jJ]?)",
-    "rust": r"(?:0x[0-9a-fA-F_]+|0b[01_]+|0o[0-7_]+|[0-9][0-9_]*(?:\.(?![.\w])|\.[0-9][0-9_]*)?(?:[eE][+\-]?[0-9_]+)?)(?:[iuf](?:8|16|32|64|128|size))?",
-    "go": r"(?:0[xX][0-9a-fA-F_.]+(?:[pP][+\-]?\d+)?|0[bB][01_]+|0[oO]?[0-7_]+|(?:[0-9][0-9_]*\.?[0-9_]*|\.[0-9][0-9_]*)(?:[eE][+\-]?[0-9_]+)?)i?",
-    "java": r"(?:0[xX][0-9a-fA-F_.]+(?:[pP][+\-]?\d+)?|0[bB][01_]+|(?:[0-9][0-9_]*\.?[0-9_]*|\.[0-9][0-9_]*)(?:[eE][+\-]?[0-9_]+)?)[lLfFdD]?",
-    "c": r"(?:0[xX][0-9a-fA-F.]+(?:[pP][+\-]?\d+)?|(?:[0-9]+\.?[0-9]*|\.[0-9]+)(?:[eE][+\-]?[0-9]+)?)[uUlLfFzZ]*",
-    "javascript": r"(?:0[xX][0-9a-fA-F_]+|0[bB][01_]+|0[oO][0-7_]+|(?:[0-9][0-9_]*\.?[0-9_]*|\.[0-9][0-9_]*)(?:[eE][+\-]?[0-9_]+)?)n?",
-}
-NUMBERS["typescript"] = NUMBERS["javascript"]
-COMMENTS = {"python": r"#[^\r\n]*", "c": r"//(?:[^\r\n\\]|\\\r?\n|\\.)*|/\*.*?\*/"}
-for _l in ("go", "java", "javascript", "typescript"):
-    COMMENTS[_l] = r"//[^\r\n]*|/\*.*?\*/"
-COMMENTS["rust"] = r"//[^\r\n]*"
-IDENTS = {l: r"[^\W\d]\w*" for l in KEYWORDS} | {"javascript": r"#?[^\W\d]\w*|#?\$[\w$]*", "typescript": r"#?[^\W\d]\w*|#?\$[\w$]*", "rust": r"(?:r#)?[^\W\d]\w*"}
-IDENTS["javascript"] = IDENTS["typescript"] = r"#?(?:[^\W\d]|\$)[\w$]*"
-
-
-REGEX_LITERAL = re.compile(r"/(?:[^/\\\[\r\n]|\\.|\[(?:[^\]\\\r\n]|\\.)*\])+/[A-Za-z]*")
-#: What follows `match` or `case` where it heads a block.
-MATCH_LINE = re.compile(r"[ \t]+(?![=.,)\]])[^\r\n]*:[ \t]*(?:#[^\r\n]*)?(?=\r|\n|\Z)")
-
-
-class Lexed(Exception):
-    """A lexical error; its text names it."""
-
-
-class Lexer:
-    """Token kinds of one language."""
-
-    held: dict[str, Lexer] = {}
-
-    def __init__(self, lang: str):
-        self.lang = lang
-        self.js = lang in ("javascript", "typescript")
-        self.words = {w: CODE[w] for w in KEYWORDS[lang].split() if lang != "python" or w not in SOFT["python"]}
-        ops = "|".join(re.escape(o) for o in OPERATORS[lang].split())
-        blank = r"(?:[ \t\f\v\xa0\ufeff]+|\\\r?\n)*" if lang in ("python", "c") else r"[ \t\f\v\xa0\ufeff]*"
-        parts = [("comment", COMMENTS[lang]), ("string", STRINGS[lang])]
-        if lang == "c":
-            parts.append(("directive", r"(?m:^)[ \t]*#(?:[^\r\n\\/]|\\\r?\n|\\.|/(?![/*])|/\*.*?\*/)*"))
-        if lang in CHARS:
-            parts.append(("char", CHARS[lang]))
-        if lang == "rust":
-            parts += [("life", r"'[^\W\d]\w*(?!')"), ("deep", r"/\*")]
-        if self.js:
-            parts += [("tick", "`"), ("slash", "/")]
-        # The commonest first; a string with a prefix is no name, so names give way to a quote that follows.
-        parts = [("ident", rf"(?:{IDENTS[lang]})(?![\"'#])"), ("close", r"[)\]}]"), ("nl", r"\r\n|\n|\r"), ("open", r"[(\[{]"), *parts, ("number", NUMBERS[lang]), ("late", IDENTS[lang]), ("op", ops), ("eof", r"\Z"), ("bad", ".")]
-        if lang == "c":
-            parts.insert(0, next(x for x in parts if x[0] == "directive"))
-            parts = [x for i, x in enumerate(parts) if i == 0 or x[0] != "directive"]
-        self.token = re.compile(blank + "(?:" + "|".join(f"(?P<{n}>{p})" for n, p in parts) + ")", re.S)
-        self.regex_ok = {START, LINE, "(", "[", "{", "}", *(CODE[x] for x in "=,;:!&|?+-*%^~<>" if x in CODE), *(CODE[x] for x in ("=>", "&&", "||", "??", "return", "typeof", "case", "==", "===", "!=", "!==", "in", "of", "...") if x in CODE)}
-        self.asi = lang == "go"
-
-    @classmethod
-    def get(cls, lang: str) -> Lexer:
-        if lang not in cls.held:
-            cls.held[lang] = cls(lang)
-        return cls.held[lang]
-
-    def template(self, text: str, at: int) -> int:
-        """End of a template literal that begins at `at`; its substitutions may nest."""
-        i, n = at + 1, len(text)
-        while i < n:
-            ch = text[i]
-            if ch == "\\":
-                i += 2
-            elif ch == "`":
-                return i + 1
-            elif text.startswith("${", i):
-                i, depth = i + 2, 1
-                while i < n and depth:
-                    ch = text[i]
-                    if ch == "`":
-                        i = self.template(text, i)
-                        continue
-                    if ch in "'\"":
-                        m = re.compile(STRINGS["javascript"], re.S).match(text, i)
-                        if not m:
-                            raise Lexed("string")
-                        i = m.end()
-                        continue
-                    depth += (ch == "{") - (ch == "}")
-                    i += 1
-            else:
-                i += 1
-        raise Lexed("template")
-
-    def rust_comment(self, text: str, at: int) -> int:
-        depth, i = 1, at + 2
-        while depth:
-            a, b = text.find("/*", i), text.find("*/", i)
-            if b < 0:
-                raise Lexed("comment")
-            if 0 <= a < b:
-                depth, i = depth + 1, a + 2
-            else:
-                depth, i = depth - 1, b + 2
-        return i
-
-    def kinds(self, text: str) -> str:
-        """One kind for each token, with line ends and indentation where they matter; raises Lexed."""
-        out: list[str] = []
-        add, words, code, js = out.append, self.words, CODE, self.js
-        pos, n, depth = 0, len(text), 0
-        python, indents, fresh = self.lang == "python", [0], True
-        if text.startswith("#!") and js:
-            pos = len(text.split("\n", 1)[0])
-        tokens = self.token.finditer(text, pos)
-        while True:
-            m = next(tokens, None)
-            if m is None:
-                break
-            kind = m.lastgroup
-            if kind == "bad":
-                raise Lexed("string" if m["bad"] in ("'", '"', "`") else "character")
-            if python and fresh and depth == 0 and kind not in ("nl", "comment", "eof"):
-                # Indentation of a logical line.
-                width = len(text[m.start() : m.start(kind)].expandtabs(8))
-                if width > indents[-1]:
-                    indents.append(width)
-                    add(">")
-                while width < indents[-1]:
-                    indents.pop()
-                    add("<")
-                if width != indents[-1]:
-                    raise Lexed("indentation")
-                fresh = False
-            if kind == "ident" or kind == "late":
-                word = m[kind]
-                if python and word in ("match", "case") and depth == 0 and (not out or out[-1] in (LINE, ">", "<")) and MATCH_LINE.match(text, m.end()):
-                    add(CODE[word])
-                else:
-                    add(words.get(word, IDENT))
-            elif kind == "op":
-                word = m["op"]
-                if word == "/" and text.startswith("*", m.end()):
-                    raise Lexed("comment")
-                add(code[word])
-            elif kind == "open":
-                depth += 1
-                add(m["open"])
-            elif kind == "close":
-                if depth:
-                    depth -= 1
-                add(m["close"])
-            elif kind == "nl" or kind == "comment":
-                if kind == "nl" or "\n" in m["comment"]:
-                    if python:
-                        if depth == 0 and not fresh and kind == "nl":
-                            add(LINE)
-                        fresh = fresh or depth == 0
-                    elif js or self.asi:
-                        if out and out[-1] != LINE:
-                            add(LINE)
-            elif kind == "number":
-                end = m.end()
-                if end < n and (text[end].isalnum() or text[end] == "_"):
-                    raise Lexed("number")
-                add(NUMBER)
-            elif kind == "eof":
-                break
-            elif kind == "tick":
-                tokens = self.token.finditer(text, self.template(text, m.end() - 1))
-                add(STRING)
-            elif kind == "slash":
-                if not out or out[-1] in self.regex_ok:
-                    r = REGEX_LITERAL.match(text, m.end() - 1)
-                    if not r:
-                        raise Lexed("regex")
-                    add(REGEX)
-                    tokens = self.token.finditer(text, r.end())
-                elif text.startswith("*", m.end()):
-                    raise Lexed("comment")
-                elif text.startswith("=", m.end()):
-                    add(code["/="])
-                    tokens = self.token.finditer(text, m.end() + 1)
-                else:
-                    add(code["/"])
-            elif kind == "deep":
-                tokens = self.token.finditer(text, self.rust_comment(text, m.end() - 2))
-            else:
-                add(STRING if kind == "string" or kind == "h" else CHAR if kind == "char" else LIFETIME if kind == "life" else DIRECTIVE)
-        if python:
-            if out and not fresh:
-                add(LINE)
-            out += "<" * (len(indents) - 1)
-        return "".join(self.lines_in(out) if (js or self.asi) else out)
-
-    def lines_in(self, kinds: list[str]) -> list[str]:
-        """Keep line ends only where they can end a statement."""
-        out: list[str] = []
-        stack: list[str] = []
-        goes_on = {CODE[x] for x in OPERATORS[self.lang].split() if x not in ("++", "--", ";", ":", "@", "#", "!", "~", "...")} | {"(", "[", "{"}
-        if self.asi:
-            ends = {IDENT, NUMBER, STRING, CHAR, ")", "]", "}", *(CODE[x] for x in ("break", "continue", "fallthrough", "return", "++", "--"))}
-            for k in kinds:
-                if k == LINE and not (out and out[-1] in ends):
-                    continue
-                out.append(k)
-            return out
-        joins = {CODE[x] for x in OPERATORS[self.lang].split() if x not in ("++", "--", "!", "~", ";", "@", "#", "...", "/")} | {")", "]", "}"}
-        for i, k in enumerate(kinds):
-            if k in "([{":
-                stack.append(k)
-            elif k in ")]}" and stack:
-                stack.pop()
-            if k == LINE:
-                after = kinds[i + 1] if i + 1 < len(kinds) else END
-                if (stack and stack[-1] in "([") or not out or out[-1] in goes_on or after in joins:
-                    continue
-            out.append(k)
-        return out
-
-
-def _pick(*names: str) -> str:
-    return "".join(CODE[x] for x in names if x in CODE)
-
-
-def permitted(lang: str) -> set[str]:
-    """Pairs of kinds that may stand beside each other, built from the roles that the grammar gives each kind."""
-    words, ops = KEYWORDS[lang].split(), OPERATORS[lang].split()
-    kinds = {IDENT, NUMBER, STRING, START, END, *"()[]{}", *(CODE[w] for w in words + ops)}
-    js = lang in ("javascript", "typescript")
-    if lang in CHARS:
-        kinds.add(CHAR)
-    if lang == "rust":
-        kinds.add(LIFETIME)
-    if js:
-        kinds.add(REGEX)
-    soft = {CODE[x] for x in SOFT[lang]} if js else set()
-    if js or lang in ("go", "python"):
-        kinds.add(LINE)
-    if lang == "python":
-        kinds |= {">", "<"}
-    if lang == "c":
-        kinds.add(DIRECTIVE)
-    code = lambda *x: {CODE[y] for y in x if y in words or y in ops}
-    literal = {NUMBER, STRING, CHAR, REGEX} & kinds
-    constants = code("True", "False", "None", "true", "false", "null", "this", "self", "Self", "super", "crate")
-    types = code("boolean", "byte", "char", "double", "float", "int", "long", "short", "void", "signed", "unsigned", "_Bool", "chan", "map", "struct", "interface", "union", "enum", "func", "const", "volatile", "static", "restrict", "type")
-    ends = literal | {IDENT, ")", "]", "}"} | constants | code("++", "--", "?", "...", "_Bool", "break", "continue", "return", "pass", "fallthrough", "class", "yield", "await", "default", "super", "async", "let", "var", "function")
-    ends |= soft
-    ends |= types & code("int", "char", "void", "long", "short", "double", "float", "boolean", "byte", "unsigned", "signed", "interface")
-    prefix = code("+", "-", "*", "&", "!", "~", "++", "--", "<-", "^", "@", "#", "...", "..", "..=", "&&", "||", "|", "<", "::", "?", "**")
-    out: set[str] = set()
-    binary = code(*[o for o in ops if o not in ("!", "~", "++", "--", "@", "#", "$", ";", ",", ":", "?", "...", "::", "<-")])
-    closers, separators = {")", "]", "}"}, code(",", ";", ":") | ({LINE} & kinds)
-    word_kinds = {CODE[w] for w in words}
-    for a in kinds:
-        for b in kinds:
-            ok = True
-            if a == START:
-                ok = b not in closers and b not in binary - prefix and b not in ({NUMBER} if lang in ("rust", "go", "java", "c") else set())
-            elif b == END:
-                ok = a not in {"(", "[", "{"} and a not in code(",", ".", "=", "=>", "->", "::", "+=", "-=", "&&", "||", "==", "!=", "@", "#", ":=", "?.", "===", "!==") and (a not in word_kinds or a in ends)
-            elif a in ends and a not in {"}"} and b in (literal | {IDENT} | constants) and a not in types:
-                # Two operands side by side.
-                ok = (a, b) == (STRING, STRING) and lang in ("python", "c")
-                if a in soft:
-                    ok = True
-                if b == IDENT:
-                    typed = {"rust": set(), "go": {IDENT, ")", "]"}, "java": {IDENT, "]", ")"}, "c": {IDENT, ")"}, "typescript": {")"}, "javascript": {")"}, "python": set()}[lang]
-                    ok = ok or a in typed or a in code("...", "default", "async", "await", "yield", "?", "let", "var", "function", "class", "return", "break", "continue", "++", "--", "super")
-                elif a in code("return", "yield", "await", "break", "default", "++", "--", "?", "...", "async", "class", "super"):
-                    ok = True
-                elif a == ")" and lang in ("java", "c", "go"):
-                    ok = True  # a cast
-                elif a == IDENT and b in (literal | constants):
-                    ok = (lang == "go" and b == STRING) or (lang == "c" and b == STRING) or (lang == "java" and b in code("this", "super")) 
-                elif a == ")" and js:
-                    ok = True  # the statement of an if or while
-                elif a == "]" and lang in ("go",):
-                    ok = True
-            elif a in binary - ends and b in closers:
-                ok = (lang in ("c", "go", "rust", "java") and a in code("*", "&", "..", ">", "->", "/", ">>")) or (lang == "python" and a in code("*", "/")) or (js and a in code(">", "*"))
-                ok = ok or a in code(">", ">>", ">>>")
-            elif a in binary - ends and b in separators:
-                ok = a in code(">", ">>", ">>>", "..", "*", "/", "&", "|", "-", "<") if lang != "python" else a in code("*", "/", "...")
-                if lang in ("go", "javascript", "typescript", "python") and b == LINE:
-                    ok = a in code(">", "*", ">>")
-            elif a in binary - ends and b in binary - prefix:
-                # The end of type arguments looks like a comparison.
-                ok = lang in ("rust", "java", "typescript") and a in code(">", ">>", ">>>") and b in code("=", "=>", "->", ">", "|", "&", ".", "?.")
-                ok = ok or (lang == "c" and a in code("*") and b in code(".")) or (lang == "rust" and a in code("|", "||") and b in code("->"))
-            elif a == CODE[","] and b in binary - prefix:
-                ok = lang == "python" and b in code("/")
-            elif a == CODE[","] and b == CODE[","]:
-                ok = js
-            elif a in {"(", "["} and b in binary - prefix:
-                ok = (lang == "python" and b in code("/")) or (lang == "rust" and b in code("..=")) or (lang == "java" and b == CODE.get(">"))
-            elif a in {"(", "["} and b == CODE[","]:
-                ok = js and a == "["
-            elif a in {"(", "["} and b == CODE[";"]:
-                ok = a == "("
-            elif a in word_kinds and b == NUMBER and a in code("class", "def", "fn", "struct", "enum", "trait", "func", "package", "import", "interface", "function", "use", "mod", "type", "let", "const", "var"):
-                ok = False
-            if js and a == STRING and b == IDENT:
-                ok = False
-            if lang == "go" and a == LINE and b in binary - prefix - code(".",):
-                ok = False
-            if ok:
-                out.add(a + b)
-    return out
-
-
-_END = r"(?:<;>|N)"
-#: Top-level productions over reduced kinds.
-TOP = {
-    "rust": r"""(?: <#> <!>? B | <;> | (?:<pub>P?)? (?: <use> [^<;>]+ <;> | <mod> i (?:C|<;>) | (?:<const>|<async>|<unsafe>|<extern> s?)* <fn> i [^<;>C<fn><struct><enum><use><mod><let>]* (?:C|<;>)
-        | (?:<struct>|<enum>) i [^<;>C<fn><struct><enum><use><mod><let>]* (?:C|<;>) | (?:<unsafe>|i)? (?:<trait>|<impl>) [^<;>C<fn><struct><enum><use><mod><let>]+ C | <type> i [^<;>]* <;>
-        | (?:<const>|<static>) <mut>? i <:> [^<;>]+ <=> [^<;>]+ <;> | <extern> s? C | <extern> <crate> [^<;>]+ <;> | (?:i|<crate>) (?:<::> i)* <!> i? (?:[PB]<;>|C) ))*+""",
-    "go": rf"""N* <package> i {_END} (?: N | <;> | <import> (?:i|<.>)? (?:s|P) {_END} | <func> P? i B? P [^N<;><func><type><import><package>]* C? {_END} | <type> (?:i [^N<;>]+|P) {_END} | (?:<var>|<const>) (?:i [^N<;>]*|P) {_END})*+""",
-    "java": r"""(?: (?:<@> i (?:<.> i)* P?)* <package> i (?:<.> i)* <;>)? (?:<;> | <import> <static>? i (?:<.> i)* (?:<.> <*>)? <;>)*
-        (?: <;> | (?:<@> i (?:<.> i)* P? | <public> | <private> | <protected> | <static> | <final> | <abstract> | <strictfp> | i(?=<class>|<interface>) | i <-> i)* (?:<class>|<interface>|<enum>|<@><interface>|i(?=i[P<])) i [^<;>C]* C )*+""",
-    "c": r"""(?: d | <;> | <extern> s C | (?:<struct>|<union>|<enum>) i? C [^<;>CdP]* <;> | <typedef> [^<;>d]+ <;>
-        | (?:<static>|<extern>|<inline>|<const>|<volatile>|<register>|<restrict>|<signed>|<unsigned>|<short>|<long>|<int>|<char>|<void>|<float>|<double>|<_Bool>|<auto>|<struct>|<union>|<enum>|<*>|i)+ (?: P (?:i P?)* (?:C|<;>) | (?:B|P)* (?: <=> [^<;>d]+)? (?:<,> <*>* i B* (?:<=> [^<;><,>d]+)?)* <;> ) | i P )*+""",
-}
-_JS_WORDS = "<export><import><function><class>"
-_JS_BODY = rf"""(?: N | <;> | <import> (?:s | [^s<;>N]+ <from> s) (?:[i<with>] C)? (?:{_END}|$) | <import> [P<.>] [^<;>N]* (?:{_END}|$)
-    | <export>? (?:<default>)? {{declare}} <async>? <function> <*>? i? {{generic}} P {{ret}} (?:C|{{bodiless}}) | <export>? (?:<default>)? {{abstract}} <class> i? [^<;>NC]* C
-    | <export> {{declare}} (?: C (?: <from> s)? | <*> (?: <as> i)? <from> s ) (?:{_END}|$) | <export> <default> [^{_JS_WORDS}<;>]+ (?:{_END}|$) {{types}}
-    | <export>? {{declare}} (?:<const>|<let>|<var>) [^<;>{_JS_WORDS}]+? (?:{_END}|$)
-    | <if> P | <else> | (?:<for>|<while>|<switch>|<with>) (?:<await>)? P | <do> C? | <try> C | <catch> P? C | <finally> C | (?:<return>|<throw>|<break>|<continue>|<debugger>) [^<;>N]* (?:{_END}|$) | i <:> | <@> i (?:<.> i)* P?
-    | C | (?:[insrPB]|{{soft}}|<await>|<new>|<this>|<super>|<typeof>|<void>|<delete>|<yield>|<!>|<-->|<++>|<+>|<->|<~>|<true>|<false>|<null>|<...>) (?:[^<;>N<export><import>]*?) (?:{_END}|$) )*+"""
-_GENERIC = r"(?:<<>[^P;]*?<>>)?"
-TOP["javascript"] = _JS_BODY.format(generic="", ret="", bodiless=r"(?!)", abstract="", types="", declare="", soft="|".join(f"<{w}>" for w in SOFT["javascript"]))
-TOP["typescript"] = _JS_BODY.format(
-    generic=r"(?:<lt>[^PC]*?(?:<gt>|<sr>))?", ret=r"(?:<:>[^<;>NC]+)?", bodiless=r"<;>", abstract="<abstract>?",
-    types=r"""| <export>? (?:<default>)? (?:<declare>|<abstract>)* (?: <interface> i [^<;>C<=>N]* C | <type> i [^<;>N<=>]* <=> [^<;>]+? (?:<;>|N|$) | <const>? <enum> i C | (?:<namespace>|<module>) (?:i|s) (?:<.>i)* C)""",
-    declare="<declare>?", soft="|".join(f"<{w}>" for w in SOFT["typescript"]),
-)
-
-
-def _compiled(lang: str) -> str:
-    p = TOP[lang].replace("<lt>", re.escape(CODE["<"])).replace("<gt>", re.escape(CODE[">"])).replace("<sr>", re.escape(CODE[">>"]))
-    p = re.sub(r"\s+", "", p)
-    p = re.sub(r"<(==|<=|>=|->|=>|::|--|\+\+|\.\.\.|[^\s<>]{1,12}?|[<>]{1,2})>", lambda m: re.escape(CODE[m[1]]) if m[1] in CODE else m[0], p)
-    return f"^{p}$"
-
-
-_HEADS = "<if> <elif> <else> <for> <while> <def> <class> <with> <try> <except> <finally> <async> <match> <case>"
-
-
-def _python_line() -> str:
-    """A line of a Python block: a simple one, or a header with its block, in the orders that the grammar allows."""
-    heads = "".join(CODE[x[1:-1]] for x in _HEADS.split())
-    code = lambda x: re.escape(CODE[x])
-    rest = r"[^NS<>()\[\]{}]"  # inside a line all brackets are reduced
-    first = rest[:-1] + heads + code(":") + code("@") + "]"
-    suite = f"{code(':')}(?:NS|{rest}+N)"
-    body = f"{rest}*?"
-    dec = f"(?:{code('@')}{rest}+N)*"
-    return (
-        f"(?:{dec}(?:{code('async')})?{code('def')}iP(?:{code('->')}{body})?{suite}|{dec}{code('class')}iB?P?{suite}"
-        f"|{code('if')}{body}{suite}(?:{code('elif')}{body}{suite})*(?:{code('else')}{suite})?"
-        f"|(?:{code('async')})?(?:{code('for')}|{code('while')}){body}{suite}(?:{code('else')}{suite})?"
-        f"|(?:{code('async')})?{code('with')}{body}{suite}|(?:{code('match')}|{code('case')}){body}{suite}|{first}{rest}*N"
-        f"|{code('try')}{suite}(?:(?:{code('except')}{body}{suite})+(?:{code('else')}{suite})?(?:{code('finally')}{suite})?|{code('finally')}{suite}))"
-    )
-
-
-def reduce_once(lang: str) -> list[tuple[str, str]]:
-    """Replacements of one round: groups that are not admissible first, then the rest."""
-    flat = r"[^()\[\]{}]*"
-    out: list[tuple[str, str]] = []
-    if lang == "javascript":
-        # A colon in parentheses belongs to a conditional; types are another language.
-        c, q = re.escape(CODE[":"]), re.escape(CODE["?"])
-        out.append((rf"\([^()\[\]{{}}{c}{q}]*{c}{flat}\)", BAD))
-        words = "".join(CODE[x] for x in ("const", "let", "var"))
-        out.append((rf"([{words}][iCB]){c}", "$1" + BAD))
-    out += [(rf"\({flat}\)", PAREN), (rf"\[{flat}\]", SQUARE), (rf"\{{{flat}\}}", BRACE)]
-    if lang == "python":
-        out.append((rf">(?:{_python_line()})++<", BLOCK))
-    return out
-
-
-TOP_REGEX: dict[str, str] = {}
-
-
-def top_regex(lang: str) -> str:
-    if lang not in TOP_REGEX:
-        TOP_REGEX[lang] = f"^(?:{_python_line()})*+$" if lang == "python" else _compiled(lang)
-    return TOP_REGEX[lang]
-
-
-XML_TOKEN = re.compile(
-    r"""(?P<cdata><!\[CDATA\[.*?\]\]>)|(?P<comment><!--(?:(?!--).)*-->)|(?P<pi><\?[A-Za-z_][\w.\-]*(?:\s.*?)?\?>)|(?P<doctype><!DOCTYPE\s(?:[^\[\]>"']|"[^"]*"|'[^']*'|\[(?:[^\]"']|"[^"]*"|'[^']*')*\])*>)
-    |(?P<close></(?P<cn>[A-Za-z_:][\w:.\-]*)\s*>)|(?P<open><(?P<on>[A-Za-z_:][\w:.\-]*)(?P<attrs>(?:\s+[A-Za-z_:][\w:.\-]*\s*=\s*(?:"[^<"]*"|'[^<']*'))*)\s*(?P<self>/)?>)|(?P<text>[^<]+)""",
-    re.S | re.X,
-)
-XML_AMP = re.compile(r"&(?!(?:[A-Za-z_][\w.\-]*|#\d+|#x[0-9a-fA-F]+);)")
-XML_ENTITY = re.compile(r"&([A-Za-z_][\w.\-]*);")
-
-
-def xml_kinds(text: str) -> str:
-    """'(' and ')' for tags, 'e' for an empty one, 't' for text that is not blank, 'p' for a declaration, 'm' for the rest."""
-    out, names, pos = [], [], 0
-    text = text.lstrip("﻿")
-    while pos < len(text):
-        m = XML_TOKEN.match(text, pos)
-        if not m:
-            raise Lexed("markup")
-        kind = m.lastgroup if m.lastgroup not in ("cn", "on", "attrs", "self") else ("close" if m["close"] else "open")
-        if kind in ("text", "open"):
-            if XML_AMP.search(m[0]) or any(e not in ("lt", "gt", "amp", "quot", "apos") for e in XML_ENTITY.findall(m[0])) and "<!ENTITY" not in text:
-                raise Lexed("entity")
-        if kind == "text":
-            if "]]>" in m[0]:
-                raise Lexed("markup")
-            if m[0].strip():
-                out.append("t")
-        elif kind == "open":
-            attrs = re.findall(r"\s([A-Za-z_:][\w:.\-]*)\s*=", re.sub(r"\"[^\"]*\"|'[^']*'", "", m["attrs"] or ""))
-            if len(attrs) != len(set(attrs)):
-                raise Lexed("attribute")
-            if m["self"]:
-                out.append("e")
-            else:
-                names.append(m["on"])
-                out.append("(")
-        elif kind == "close":
-            if not names or names.pop() != m["cn"]:
-                raise Lexed("tag")
-            out.append(")")
-        elif kind == "pi":
-            if m[0].lower().startswith("<?xml") and m[0][5:6].isspace():
-                if pos or not re.match(r"<\?xml\s+version\s*=", m[0]):
-                    raise Lexed("declaration")
-                out.append("p")
-            else:
-                out.append("m")
-        else:
-            out.append("t" if kind == "cdata" else "o" if kind == "doctype" else "m")
-        pos = m.end()
-    return "".join(out)
-
-
-YAML_QUOTED = re.compile(r"\"(?:[^\"\\]|\\.)*\"|'(?:[^']|'')*'", re.S)
-YAML_KEY = re.compile(r"(?:\"(?:[^\"\\]|\\.)*\"|'(?:[^']|'')*'|(?![\-?:](?:\s|$))[^\s#\[\]{},&*!|>'\"%@`][^\r\n]*?)\s*:(?=\s|$)")
-YAML_BLOCK = re.compile(r"(?:[&!]\S+\s+)*[|>][+\-0-9]*\s*(?:#.*)?$")
-
-
-def yaml_kinds(text: str) -> str:
-    """Kinds of a YAML text: 'k' key, '-' entry, 'v' value, '>' and '<' levels, 'N' line end; raises Lexed.
-
-    Levels are kept as a stack of (column, what stands there); a line that fits none of them is an error.
-    """
-    lines = text.lstrip("﻿").replace("\r\n", "\n").replace("\r", "\n").split("\n")
-    out: list[str] = []
-    stack: list[list] = []  # [column, 'map' or 'seq']
-    i, wants = 0, False  # wants: the last key or entry may take a deeper value
-    while i < len(lines):
-        line = lines[i]
-        i += 1
-        body = line.lstrip(" ")
-        if not body.strip() or body.startswith("#"):
-            continue
-        if line.startswith(("---", "...")) and (len(line) == 3 or line[3] in " \t"):
-            out += "<" * len(stack) + "D"
-            stack, wants = [], True
-            if line[3:].strip() and not line[3:].strip().startswith("#"):
-                body, line = line[4:].lstrip(), line
-            else:
-                continue
-        if line.startswith("%") and not out:
-            continue
-        if "\t" in line[: len(line) - len(line.lstrip())]:
-            raise Lexed("tab")
-        col = len(line) - len(body)
-        first = True
-        while True:
-            entry = re.match(r"-(?:\s+|$)", body)
-            key = None if entry else YAML_KEY.match(body)
-            kind = "seq" if entry else "map" if key else None
-            if kind is None:
-                break
-            if first:
-                while stack and stack[-1][0] > col:
-                    stack.pop()
-                    out.append("<")
-                if stack and stack[-1][0] == col:
-                    if stack[-1][1] != kind:
-                        if kind == "seq" and stack[-1][1] == "map" and wants:
-                            stack.append([col, "seq"])
-                            out.append(">")
-                        elif kind == "map" and stack[-1][1] == "seq" and len(stack) > 1 and stack[-2] == [col, "map"]:
-                            stack.pop()
-                            out.append("<")
-                        else:
-                            raise Lexed("level")
-                elif not stack and out and out[-1] not in ("D",) and not wants:
-                    raise Lexed("level")
-                elif stack and not wants:
-                    raise Lexed("level")
-                else:
-                    if not stack and any(k in "kv-" for k in out) and "D" not in out[-1:]:
-                        raise Lexed("level")
-                    stack.append([col, kind])
-                    out.append(">")
-            else:
-                stack.append([col, kind])
-                out.append(">")
-            first = False
-            used = entry.end() if entry else key.end()
-            out.append("-" if entry else "k")
-            rest = body[used:]
-            stripped = rest.lstrip(" ")
-            col += used + len(rest) - len(stripped) if entry else 0
-            body = stripped if entry else rest.strip()
-            wants = True
-            if not entry:
-                break
-            if not body or body.startswith("#"):
-                body = ""
-                break
-        if kind is None and not first:
-            pass
-        if kind is None and first:
-            # A line of its own that is neither key nor entry: a whole document, or a continuation.
-            if out and out[-1] == "v" and stack and col > stack[-1][0] and not wants:
-                out.append("v")
-                continue
-            if not (wants or not out) or (stack and col <= stack[-1][0]):
-                raise Lexed("line")
-        value = body
-        if not value or value.startswith("#"):
-            out.append("N")
-            continue
-        if YAML_BLOCK.match(value):
-            base = stack[-1][0] if stack else -1
-            while i < len(lines) and (not lines[i].strip() or len(lines[i]) - len(lines[i].lstrip(" ")) > base):
-                i += 1
-            out += "vN"
-            wants = False
-            continue
-        value = re.sub(r"^(?:[&!][^\s]*\s+)+", "", value)
-        if re.fullmatch(r"[&!]\S*", value):
-            out.append("N")
-            continue
-        base = stack[-1][0] if stack else -1
-        if value[0] in "\"'":
-            while not (m := YAML_QUOTED.match(value)):
-                if i >= len(lines) or (lines[i].strip() and len(lines[i]) - len(lines[i].lstrip(" ")) <= base):
-                    raise Lexed("string")
-                value += "\n" + lines[i]
-                i += 1
-            if value[0] == '"' and re.search(r"\\(?![0abtnvfre \"/\\N_LPxuU\n\t])", m[0]):
-                raise Lexed("escape")
-            after = value[m.end() :].strip()
-            if after and not after.startswith("#"):
-                raise Lexed("string")
-        elif value[0] in "[{":
-            end = flow_end(value)
-            while end is None:
-                if i >= len(lines) or (lines[i].strip() and len(lines[i]) - len(lines[i].lstrip(" ")) <= base):
-                    raise Lexed("flow")
-                value += "\n" + lines[i]
-                i += 1
-                end = flow_end(value)
-            after = value[end:].strip()
-            if after and not after.startswith("#"):
-                raise Lexed("flow")
-        elif value[0] in "%@`" or (value[0] in ",]}") or re.match(r"[&*!](?:\s|$)", value):
-            raise Lexed("scalar")
-        else:
-            plain = re.split(r"\s#", value, maxsplit=1)[0]
-            if value[0] != "*" and re.search(r":(?:\s|$)", plain) and (kind != "seq" or True) and kind == "map":
-                raise Lexed("scalar")
-        out += "vN"
-        wants = False
-    return "".join(out)
-
-
-def flow_end(s: str) -> int | None:
-    """End of a flow collection, None if it goes on; raises Lexed where brackets do not match."""
-    stack, i = [], 0
-    last = ""
-    while i < len(s):
-        ch = s[i]
-        if ch in "\"'" and last in ("", "[", "{", ",", ":"):
-            m = YAML_QUOTED.match(s, i)
-            if not m:
-                return None
-            i, last = m.end(), "s"
-            continue
-        if ch in "[{":
-            stack.append(ch)
-            last = ch
-        elif ch in "]}":
-            if not stack or stack.pop() != {"]": "[", "}": "{"}[ch]:
-                raise Lexed("flow")
-            last = ch
-            if not stack:
-                return i + 1
-        elif ch == ",":
-            if last in ("[", "{", ","):
-                raise Lexed("flow")
-            last = ch
-        elif ch == ":":
-            last = ":"
-        elif ch == "#" and i and s[i - 1].isspace():
-            j = s.find("\n", i)
-            i = len(s) if j < 0 else j
-            continue
-        elif not ch.isspace():
-            last = "s" if last != "" else "s"
-        i += 1
-    return None
-
-
-DEEP = 64
-GROUPS = re.compile(r"[()\[\]{}<>]")
-
-
-def collapse(lang: str, kinds: str) -> str:
-    """What the rounds of `reduced` give, in one pass with a stack; for files so deep that rounds would cost too much."""
-    steps = [(re.compile(a), b.replace("$1", r"\1")) for a, b in reduce_once(lang)]
-    closer = {")": "(", "]": "[", "}": "{", "<": ">"}
-    stack: list[tuple[str, list[str]]] = [("", [])]
-    for k in kinds:
-        if k in "([{>":
-            stack.append((k, []))
-        elif k in closer and len(stack) > 1 and stack[-1][0] == closer[k]:
-            opened, inside = stack.pop()
-            group = opened + "".join(inside) + k
-            for a, b in steps:
-                group = a.sub(b, group)
-            stack[-1][1].append(group)
-        else:
-            stack[-1][1].append(k)
-    return "".join(o + "".join(inside) for o, inside in stack)
-
-
-def lex(lang: str, text: str) -> tuple[str, str | None]:
-    """(kinds, lexical error or None)."""
-    try:
-        if lang == "xml":
-            return xml_kinds(text), None
-        if lang == "yaml":
-            return yaml_kinds(text), None
-        return Lexer.get(lang).kinds(text), None
-    except Lexed as e:
-        return "", str(e)
+#: A bracket and the kinds up to the next one; the first row of a file has no bracket.
+PIECE = r"[\^()\[\]{}<>][^()\[\]{}<>]*"
+#: Contents judged are remembered in a worker, up to so many characters.
+REMEMBER = 5_000_000
 
 
 def language(path: Column) -> Column:
@@ -738,42 +43,79 @@ def language(path: Column) -> Column:
 
 
 def lexed(files: DataFrame) -> DataFrame:
-    """(file_id, lang, kinds, depth, error, pairs) of file_id, path, content."""
+    """(row, file_id, lang, kinds, error) of file_id, path, content; `row` tells repeated rows apart."""
 
     def go(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            rows = []
-            for i, lang, text in zip(b["file_id"], b["lang"], b["content"]):
-                kinds, error = lex(lang, text)
-                depth = most = 0
-                for k in GROUPS.findall(kinds):
-                    if k in "([{>":
-                        depth += 1
-                        if depth > most:
-                            most = depth
-                    else:
-                        depth -= 1
-                whole = START + kinds + END
-                if most > DEEP and lang in KEYWORDS:
-                    kinds, most = collapse(lang, kinds), 0
-                pairs = sorted(a + b for a, b in set(zip(whole, whole[1:]))) if len(whole) > 2 and lang not in ("xml", "yaml") else []
-                rows.append((i, lang, kinds, most, error, pairs))
-            yield pd.DataFrame(rows, columns=["file_id", "lang", "kinds", "depth", "error", "pairs"])
+            got = [lex(lang, text) for lang, text in zip(b["lang"], b["content"])]
+            yield pd.DataFrame({"file_id": b["file_id"], "lang": b["lang"], "kinds": [k for k, _ in got], "error": [e for _, e in got]})
 
     judged = files.select("file_id", language(F.col("path")).alias("lang"), "content").where("lang is not null and lang <> 'properties' and content is not null and content <> ''")
-    return judged.mapInPandas(go, "file_id long, lang string, kinds string, depth int, error string, pairs array<string>")
+    return judged.mapInPandas(go, "file_id long, lang string, kinds string, error string").withColumn("row", F.monotonically_increasing_id())
+
+
+def token_rows(tokens: DataFrame) -> DataFrame:
+    """(row, lang, pos, bracket, name, kinds, before): a row for each bracket of a file, `before` the kind in front of it."""
+    rows = tokens.where("error is null").select("row", "lang", F.regexp_extract_all(F.concat(F.lit(START), "kinds"), F.lit(PIECE), F.lit(0)).alias("pieces"))
+    # Of each piece only the last kind goes along with the next one.
+    last = F.transform("pieces", lambda p: F.right(p, F.lit(1)))
+    both = F.arrays_zip(F.col("pieces").alias("piece"), F.concat(F.array(F.lit(START)), F.slice(last, F.lit(1), F.size(last) - 1)).alias("before"))
+    rows = rows.select("row", "lang", F.posexplode(both).alias("pos", "p")).select("row", "lang", "pos", "p.piece", "p.before")
+    first = F.substring("piece", 1, 1)
+    bracket = F.when(F.col("pos") > 0, first).otherwise("")
+    tag = (F.col("lang") == "xml") & (F.col("pos") > 0)
+    return rows.select(
+        "row", "lang", "pos", bracket.alias("bracket"), F.when(tag, F.substring("piece", 2, 1)).otherwise("").alias("name"),
+        F.expr("substring(piece, CASE WHEN lang = 'xml' AND pos > 0 THEN 3 ELSE 2 END)").alias("kinds"), "before",
+    )
+
+
+def nested(rows: DataFrame) -> DataFrame:
+    """`rows` with depth, `group` (position of the bracket whose group a row's kinds belong to) and `wrong` (a closing
+    bracket that closes nothing or something else)."""
+    opens, closes = F.col("bracket").isin(*OPEN), F.col("bracket").isin(*CLOSE)
+    rows = rows.withColumn("depth", F.sum(F.when(opens, 1).when(closes, -1).otherwise(0)).over(Window.partitionBy("row").orderBy("pos")))
+    at = Window.partitionBy("row", "level").orderBy("pos")
+    rows = rows.withColumn("level", F.when(closes, F.col("depth") + 1).otherwise(F.col("depth")))
+    # Parentheses right before a brace stand at its own level: two rows before it there is what opened them.
+    heads = (F.col("bracket") == "{") & (F.col("before") == ")")
+    rows = rows.withColumns({"opened": F.lag("bracket").over(at), "opened_name": F.lag("name").over(at), "head": F.when(heads, F.lag("before", 2).over(at))})
+    pair = F.translate("bracket", CLOSE, OPEN)
+    wrong = closes & ~((F.col("depth") >= 0) & F.col("opened").eqNullSafe(pair) & F.col("opened_name").eqNullSafe(F.col("name")))
+    inside = Window.partitionBy("row", "depth").orderBy("pos")
+    return rows.withColumns({"wrong": wrong, "group": F.max(F.when(~closes, F.col("pos"))).over(inside)}).drop("opened", "opened_name", "level")
+
+
+def contents(rows: DataFrame) -> DataFrame:
+    """(row, lang, bracket, before, head, content, wrong) of every group, the groups in it reduced to one letter each."""
+    letter = F.translate("bracket", CLOSE, "".join(GROUPS.values()))
+    piece = F.when(F.col("bracket").isin(*CLOSE), F.concat(letter, "kinds")).otherwise(F.col("kinds"))
+    per = rows.groupBy("row", "lang", "depth", "group").agg(
+        F.array_sort(F.collect_list(F.struct("pos", piece.alias("piece"), "bracket", "before", F.coalesce("head", F.lit("")).alias("head")))).alias("parts"), F.max("wrong").alias("wrong"),
+    )
+    return per.select("row", "lang", F.col("parts")[0]["bracket"].alias("bracket"), F.col("parts")[0]["before"].alias("before"), F.col("parts")[0]["head"].alias("head"), F.array_join(F.col("parts")["piece"], "").alias("content"), "wrong")
+
+
+def _follows(lang: pd.Series, bracket: pd.Series, before: pd.Series, head: pd.Series, content: pd.Series) -> pd.Series:
+    known = _follows_known
+    out = []
+    for key in zip(lang, bracket, before, head, content):
+        if (got := known.get(key)) is None:
+            got = admissible(*key)
+            if len(key[4]) <= 200:
+                if len(known) * 200 > REMEMBER:
+                    known.clear()
+                known[key] = got
+        out.append(got)
+    return pd.Series(out)
 
 
-def reduced(kinds: Column, depth: Column, lang: str) -> Column:
-    """Kinds with every admissible group replaced, as many rounds as the file is deep."""
-    steps = reduce_once(lang)
+_follows_known: dict[tuple, bool] = {}
 
-    def once(acc: Column, _: Column) -> Column:
-        for pattern, put in steps:
-            acc = F.regexp_replace(acc, pattern, put)
-        return acc
 
-    return F.aggregate(F.sequence(F.lit(0), depth), kinds, once)
+def follows() -> Column:
+    """Whether the content of a group is admissible."""
+    return F.pandas_udf(_follows, "boolean")("lang", "bracket", "before", "head", "content")
 
 
 def defects(files: DataFrame) -> DataFrame:
@@ -781,19 +123,18 @@ def defects(files: DataFrame) -> DataFrame:
     spark = files.sparkSession
     tokens = cut(lexed(files))
     table = [(lang, pair) for lang in KEYWORDS for pair in permitted(lang)]
-    good = F.broadcast(spark.createDataFrame(table, "lang string, pair string"))  # bounded by the grammars above
+    good = F.broadcast(spark.createDataFrame(table, "lang string, pair string"))  # bounded by the grammars
     found = tokens.where("error is not null").select("file_id", F.concat(F.lit("lexical: "), "error").alias("defect"))
-    pairs = tokens.where("error is null").select("file_id", "lang", F.explode("pairs").alias("pair"))
+    whole = F.concat(F.lit(START), "kinds", F.lit(END))
+    pairs = tokens.where("error is null and kinds <> '' and lang not in ('xml', 'yaml')").select("file_id", "lang", F.explode(F.array_distinct(F.regexp_extract_all(whole, F.lit("(?s)(?=(..))"), F.lit(1)))).alias("pair"))
     found = found.unionByName(pairs.join(good, ["lang", "pair"], "left_anti").select("file_id", F.lit("pair").alias("defect")))
-    text = None
-    for lang in [*KEYWORDS]:
-        left = reduced(F.col("kinds"), F.col("depth"), lang)
-        state = F.when(left.rlike(r"[()\[\]{}X<>]"), "nesting").when(~left.rlike(top_regex(lang)), "production")
-        text = F.when(F.col("lang") == lang, state) if text is None else text.when(F.col("lang") == lang, state)
-    tags = F.aggregate(F.sequence(F.lit(0), F.col("depth")), F.col("kinds"), lambda acc, _: F.regexp_replace(acc, r"\([etm]*\)", "e"))
-    text = text.when(F.col("lang") == "xml", F.when(~tags.rlike(r"^p?m*(?:om*)?em*$|^m*$"), "production"))
-    structure = tokens.where("error is null and kinds <> ''").select("file_id", text.alias("defect")).where("defect is not null")
-    return found.unionByName(structure).distinct()
+    groups = contents(nested(token_rows(tokens.where("kinds <> ''"))))
+    # A group of a file that ends before its bracket closes stays open: there are more opening than closing brackets.
+    uneven = F.length(F.regexp_replace("kinds", "[^(\\[{>]", "")) != F.length(F.regexp_replace("kinds", "[^)\\]}<]", ""))
+    found = found.unionByName(tokens.where(uneven).select("file_id", F.lit("nesting").alias("defect")))
+    judged = groups.withColumn("defect", F.when(F.col("wrong"), "nesting").when(~follows(), "production"))
+    bad = judged.where("defect is not null").select("row", "defect").distinct()
+    return found.unionByName(tokens.select("row", "file_id").join(bad, "row").select("file_id", "defect")).distinct()
 
 
 def rates(files: DataFrame, found: DataFrame) -> DataFrame:
