@@ -79,8 +79,33 @@ def test_schema_text():
 
 def test_unified(spark):
     df = hooks(spark, [(1, 1, [{"conversation_id": "s", "tool_response": {"output": {"text": "x", "bytes": 1}, "exit_code": "7"}}, {"sessionId": 5, "exitCode": 1.0, "succeeded": True}, "cut {", None])])
-    got = [(r.readable, r.u_session_id, r.u_output, r.u_exit_code, r.u_success) for r in drift.unified(df).orderBy("line_no").collect()]
-    assert got == [(True, "s", "x", 7, None), (True, "5", None, 1, True), (False, None, None, None, None), (False, None, None, None, None)]
+    got = [(r.readable, r.u_session_id, r.u_output, r.u_exit_code, r.u_success, r.rest) for r in drift.unified(df).orderBy("line_no").collect()]
+    assert got == [(True, "s", "x", 7, None, {"tool_response.output.bytes": "1"}), (True, "5", None, 1, True, {}), (False, None, None, None, None, {}), (False, None, None, None, None, {})]
+
+
+def test_unified_holds_every_value(spark):
+    lines = [
+        {"new": {"deep": [1, {"a": None}], "k.k": "q", "e": {}, "n": None}, "status": "a", "outcome": "b"}, '{"exit_code": 12345678901234567890123, "big": 12345678901234567890123.50, "x": 1.0e5}',
+        {"exit_code": "many", "success": 2, "error": "TRUE"}, '{"a": 1, "a": 2}', '{"a": NaN}', "[1]", "", {"a": {"b": 1}, "a.b": 2}, {"exit_code": 9007199254740993},
+    ]
+    got = drift.unified(hooks(spark, [(1, 1, lines)])).orderBy("line_no").collect()
+    assert got[0].u_status == "a" and got[0].rest == {"new.deep": '[1,{"a":null}]', "new.k.k": '"q"', "new.e": "{}", "outcome": '"b"'}
+    assert got[1].rest == {"exit_code": "12345678901234567890123", "big": "12345678901234567890123.50", "x": "1.0e5"}
+    assert got[2].rest == {"exit_code": '"many"', "success": "2", "error": '"TRUE"'}
+    assert [r.readable for r in got] == [True, True, True, False, False, False, False, True, True]
+    assert got[7].rest == {"a.b": "1", "a.b'": "2"} and got[8].u_exit_code == 9007199254740993
+    # A line that holds the same path twice counts once in its footer, so it is left out here.
+    counts = drift.values(hooks(spark, [(1, 1, lines[:1] + lines[2:7]), (1, 2, ["cut {"]), (None, None, [{"a": 1}])])).collect()
+    assert counts and all(r.n_in == r.n_out for r in counts)
+
+
+def test_islands(spark):
+    df = hooks(spark, [(1, 2, [{"a": 1, "b": 1}]), (1, 5, [{"a": "x"}]), (1, 6, [{"a": 1, "b": 2}, {"b": 3}]), (1, 9, [{"a": 1}])])
+    got = sorted((r.field, r.type, r.island, r.from_file, r.to_file, r.n_files, r.n_lines, r.first_file, r.next_file) for r in drift.islands(df).collect())
+    assert got == [
+        ("a", "number", 1, 2, 2, 1, 1, 2, 5), ("a", "number", 2, 6, 9, 2, 2, 2, None), ("a", "string", 1, 5, 5, 1, 1, 2, 6), ("b", "number", 1, 2, 2, 1, 1, 2, 5), ("b", "number", 2, 6, 6, 1, 2, 2, 9),
+    ]
+    assert drift.islands(hooks(spark, [])).count() == 0
 
 
 def test_alias_learned_from_many_feeds(spark):

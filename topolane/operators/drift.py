@@ -1,8 +1,8 @@
 """Schemas that drift between the files of a feed: a column lifespan catalogue, the changes, and one consistent table.
 
 Each readable line is reduced on the JVM to its schema (a "footer"); footers are counted per file with map-side
-aggregation, and only the few distinct ones per file are exploded to (field, type) rows. Lifespans come from windows
-over the files of a feed (first, last, next file), renamings from an alias table and from names that begin where the same
+aggregation, and only the few distinct ones per file are exploded to (field, type) rows. Lifespans are islands: windows
+with `lag` over the numbered files of a feed find the stretches in which a field has a type; renamings from an alias table and from names that begin where the same
 other name ends in many feeds, casts from the same table.
 
 Cases: a line that is no JSON object (null, cut off, empty, a bare array or number) has no fields but its file still
@@ -12,6 +12,9 @@ occur; an empty table gives no change. Extra columns are ignored.
 
 from __future__ import annotations
 
+import json
+from decimal import Decimal
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -133,12 +136,6 @@ def parse_schema(text: str) -> list[tuple[str, str]]:
     return out
 
 
-def readable(raw: Column) -> Column:
-    """The line as a variant, null if it is no JSON object."""
-    v = F.try_parse_json(raw)
-    return F.when(F.schema_of_variant(v).startswith("OBJECT"), v)
-
-
 def footers(lines: DataFrame, feed: str = "feed_id", file: str = "file_no", raw: str = "raw") -> DataFrame:
     """Distinct line schemas of each file with their number of lines; unreadable lines have a null footer.
 
@@ -171,24 +168,50 @@ def alias_groups(spark) -> DataFrame:
     return spark.createDataFrame(rows, "field string, meaning string, alias_rank int")
 
 
+def _beside(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
+    """Join on keys of which null is a value like others."""
+    right = right.withColumnsRenamed({k: "__" + k for k in keys})
+    same = F.lit(True)
+    for k in keys:
+        same = same & F.col(k).eqNullSafe(F.col("__" + k))
+    return left.join(right, same, how).drop(*["__" + k for k in keys])
+
+
+def islands(lines: DataFrame) -> DataFrame:
+    """Lifespans: one row for each stretch of consecutive files in which a field of a feed occurs with a JSON type.
+
+    Columns: feed_id, field, type, island (from 1), from_file, to_file, n_files, n_lines, first_file (of the feed), next_file
+    (the feed's file after `to_file`, null at its end): a field that goes and comes back has two.
+    """
+    # Lineage is cut here so that the lines are parsed once: what is kept are the distinct footers of each file.
+    foot = cut(footers(lines))
+    numbered = Window.partitionBy("feed_id").orderBy("file_no")
+    files = foot.select("feed_id", "file_no").distinct()
+    files = files.withColumns({"at": F.row_number().over(numbered), "next_file": F.lead("file_no").over(numbered), "first_file": F.min("file_no").over(Window.partitionBy("feed_id"))})
+    rows = exploded(foot).where("type <> 'null'").groupBy("feed_id", "file_no", "field", "type").agg(F.sum("n_lines").alias("n_lines"))
+    rows = _beside(rows, files, ["feed_id", "file_no"])
+    span = Window.partitionBy("feed_id", "field", "type").orderBy("at")
+    rows = rows.withColumn("starts", F.when(F.lag("at").over(span) == F.col("at") - 1, 0).otherwise(1))
+    rows = rows.withColumn("island", F.sum("starts").over(span))
+    return rows.groupBy("feed_id", "field", "type", "island").agg(
+        F.min("file_no").alias("from_file"), F.max("file_no").alias("to_file"), F.count(F.lit(1)).alias("n_files"), F.sum("n_lines").alias("n_lines"),
+        F.first("first_file").alias("first_file"), F.max_by("next_file", "at").alias("next_file"),
+    )
+
+
 def catalogue(lines: DataFrame) -> DataFrame:
     """One row for each field of a feed and JSON type: first and last file, and the file that follows the last one.
 
     Columns: feed_id, field, type, type_first (first file with this type), born, last (files of the field over all
     types), first_file (of the feed), after (the feed's next file after `last`, null if none), n_lines.
     """
-    spark = lines.sparkSession
-    foot = footers(lines)
-    # Lineage is cut here so that the lines are parsed once: what is kept are the distinct footers of each file.
-    foot = cut(foot)
-    numbered = Window.partitionBy("feed_id").orderBy("file_no")
-    files = foot.select("feed_id", "file_no").distinct()
-    files = files.withColumns({"next_file": F.lead("file_no").over(numbered), "first_file": F.min("file_no").over(Window.partitionBy("feed_id"))})
-    rows = exploded(foot).where("type <> 'null'")
-    per = rows.groupBy("feed_id", "field", "type").agg(F.min("file_no").alias("type_first"), F.max("file_no").alias("type_last"), F.sum("n_lines").alias("n_lines"))
+    per = islands(lines).groupBy("feed_id", "field", "type").agg(
+        F.min("from_file").alias("type_first"), F.max("to_file").alias("type_last"), F.sum("n_lines").alias("n_lines"),
+        F.first("first_file").alias("first_file"), F.max_by("next_file", "to_file").alias("next_file"),
+    )
     whole = Window.partitionBy("feed_id", "field")
     per = per.withColumns({
-        "born": F.min("type_first").over(whole), "last": F.max("type_last").over(whole),
+        "born": F.min("type_first").over(whole), "last": F.max("type_last").over(whole), "after": F.max_by("next_file", "type_last").over(whole),
         "is_field": F.max(F.when(F.col("type") != "object", 1).otherwise(0)).over(whole),
         "was_object": F.max(F.when(F.col("type") == "object", 1).otherwise(0)).over(whole),
     })
@@ -202,8 +225,7 @@ def catalogue(lines: DataFrame) -> DataFrame:
         .join(opened, ["feed_id", "ancestor"], "left_semi").select("feed_id", "field").distinct()
     )
     fields = fields.join(below, ["feed_id", "field"], "left_anti")
-    at = files.select("feed_id", F.col("file_no").alias("last"), F.col("next_file").alias("after"), "first_file")
-    return fields.join(at, ["feed_id", "last"]).select("feed_id", "field", "type", "type_first", "born", "last", "first_file", "after", "n_lines")
+    return fields.select("feed_id", "field", "type", "type_first", "born", "last", "first_file", "after", "n_lines")
 
 
 def changes(lines: DataFrame) -> DataFrame:
@@ -243,10 +265,6 @@ def changes(lines: DataFrame) -> DataFrame:
     return renamed.unionByName(shape(added, "added", "new_field")).unionByName(shape(removed, "removed", "field")).unionByName(shape(retyped, "retyped", "field"))
 
 
-def json_path(dotted: str) -> str:
-    return "$" + "".join(f"['{p}']" for p in dotted.split("."))
-
-
 #: Type of each column of the unified table that is not text.
 CASTS = {"exit_code": "bigint", "success": "boolean", "error": "boolean", "stop_hook_active": "boolean"}
 
@@ -254,29 +272,122 @@ CASTS = {"exit_code": "bigint", "success": "boolean", "error": "boolean", "stop_
 #: Members that hold the value where it became an object.
 MEMBERS = {"output": ("text",), "content": ("text",), "cwd": ("primary",)}
 
+#: Column and rank of every path of the alias table; the smallest rank has the column where a line has several.
+PLACES = {
+    path: (meaning, rank)
+    for meaning, names in ALIASES.items()
+    for rank, path in enumerate(p for n in names for p in (*(f"{n}.{m}" for m in MEMBERS.get(meaning, ())), n))
+}
+UNIFIED = "struct<readable:boolean," + ",".join(f"u_{m}:{CASTS.get(m, 'string')}" for m in ALIASES) + ",rest:map<string,string>>"
+
+
+class _Number(str):
+    """A number as it is written in the line."""
+
+
+def _pairs(pairs: list) -> dict:
+    out = dict(pairs)
+    if len(out) < len(pairs):
+        raise ValueError("a key twice")
+    return out
+
+
+def _not_json(word: str) -> None:
+    raise ValueError(word)
+
+
+def _text(value: object) -> str:
+    """JSON text of a decoded value."""
+    if isinstance(value, _Number):
+        return value
+    if isinstance(value, list):
+        return "[" + ",".join(map(_text, value)) + "]"
+    if isinstance(value, dict):
+        return "{" + ",".join(f"{json.dumps(k, ensure_ascii=False)}:{_text(v)}" for k, v in value.items()) + "}"
+    return json.dumps(value, ensure_ascii=False)
+
+
+def leaves(value: dict) -> list[tuple[str, object]]:
+    """(dotted path, value) of every value that is neither null nor an object with members, in their order."""
+    out, stack = [], [("", iter(value.items()))]
+    while stack:
+        path, items = stack[-1]
+        for k, v in items:
+            at = f"{path}.{k}" if path else k
+            if isinstance(v, dict) and v:
+                stack.append((at, iter(v.items())))
+                break
+            if v is not None:
+                out.append((at, v))
+        else:
+            stack.pop()
+    return out
+
+
+def _cast(value: object, kind: str) -> object:
+    """The value in the column's type, None where it has none."""
+    text = value if isinstance(value, str) else _text(value)
+    if kind == "string":
+        return text
+    if kind == "boolean":
+        return {"true": True, "1": True, "false": False, "0": False}.get(text.strip().lower())
+    try:
+        number = int(text) if text.strip().lstrip("+-").isdigit() else Decimal(text)
+        return int(number) if number == int(number) and -(2**63) <= number < 2**63 else None
+    except (ArithmeticError, ValueError):
+        return None
+
+
+def unify_line(raw: str | None) -> dict:
+    """One line of the unified table."""
+    try:
+        value = json.loads(raw, parse_int=_Number, parse_float=_Number, parse_constant=_not_json, object_pairs_hook=_pairs)
+    except (ValueError, TypeError, RecursionError):
+        value = None
+    if not isinstance(value, dict):
+        return {"readable": False, "rest": {}}
+    out, taken, rest = {"readable": True}, {}, {}
+    for path, v in leaves(value):
+        place = PLACES.get(path) if v != {} else None
+        if place is not None and (cast := _cast(v, CASTS.get(place[0], "string"))) is not None:
+            meaning, rank = place
+            held = taken.get(meaning)
+            if held is None or rank < held[0]:
+                taken[meaning] = (rank, path, v)
+                out["u_" + meaning] = cast
+                if held is None:
+                    continue
+                path, v = held[1:]
+        while path in rest:
+            path += "'"
+        rest[path] = _text(v)
+    out["rest"] = rest
+    return out
+
 
 def unified(lines: DataFrame) -> DataFrame:
-    """All lines in one table: the alias table's columns with their casts, `readable` false where the line is no JSON.
+    """All lines in one table that holds every value: the alias table's columns with their casts, and `rest`.
 
-    A value that became an object gives its `text` or `primary` member, an array its JSON text; a value that the
-    column's type cannot hold becomes null, while the raw line stays beside it. Row for row, no shuffle.
+    A value that became an object gives its `text` or `primary` member, an array its JSON text. `rest` maps the path of
+    every other value to its JSON text: fields that the alias table lacks, a second name of the same information in a
+    line, and values that the column's type cannot hold. `readable` is false where the line is no JSON object. Row for
+    row, no shuffle.
     """
-    v = F.col("__v")
-    cols = {}
-    for meaning, names in ALIASES.items():
-        found = []
-        for n in names:
-            if meaning in CASTS:
-                found.append(F.try_variant_get(v, json_path(n), "double") if CASTS[meaning] == "bigint" else F.try_variant_get(v, json_path(n), "string"))
-            else:
-                # Members that stand for the whole come first, since an object as text is its JSON.
-                found += [F.try_variant_get(v, json_path(n) + f"['{m}']", "string") for m in MEMBERS.get(meaning, ())]
-                found.append(F.try_variant_get(v, json_path(n), "string"))
-        value = F.coalesce(*found)
-        if CASTS.get(meaning) == "bigint":
-            value = value.try_cast("bigint")
-        elif CASTS.get(meaning) == "boolean":
-            value = F.when(F.lower(value).isin("true", "1"), True).when(F.lower(value).isin("false", "0"), False)
-        cols[meaning] = value
-    keep = [F.col(c) for c in lines.columns]
-    return lines.select(*keep, readable(F.col("raw")).alias("__v")).select(*keep, v.isNotNull().alias("readable"), *[c.alias(f"u_{k}") for k, c in cols.items()])
+    names = ["readable", *("u_" + m for m in ALIASES), "rest"]
+
+    @F.pandas_udf(UNIFIED)
+    def unify(raw: pd.Series) -> pd.DataFrame:
+        rows = [unify_line(x) for x in raw]
+        return pd.DataFrame({n: pd.Series([r.get(n) for r in rows], dtype=object) for n in names})
+
+    return lines.select(*[F.col(c) for c in lines.columns], unify("raw").alias("__u")).select(*lines.columns, "__u.*")
+
+
+def values(lines: DataFrame) -> DataFrame:
+    """(feed_id, file_no, n_in, n_out): values in the lines of a file, by their footers, and in the unified table."""
+    counted = exploded(footers(lines)).where("type not in ('null', 'object')").groupBy("feed_id", "file_no").agg(F.sum("n_lines").alias("n_in"))
+    held = F.size(F.map_filter("rest", lambda _, v: v != "{}"))
+    for m in ALIASES:
+        held = held + F.col("u_" + m).isNotNull().cast("int")
+    out = unified(lines.select("feed_id", "file_no", "raw")).groupBy("feed_id", "file_no").agg(F.sum(held).alias("n_out"))
+    return _beside(out, counted, ["feed_id", "file_no"], "left").select("feed_id", "file_no", F.coalesce("n_in", F.lit(0)).alias("n_in"), "n_out")
