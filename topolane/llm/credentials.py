@@ -18,6 +18,7 @@ import binascii
 import json
 import math
 import re
+from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
@@ -38,10 +39,15 @@ JOINED = re.compile(r"""(["'])\s*(?:\+|\\\r?\n|\.\.|\.)?\s*[bru]?(["'])([\w.\-+/
 PRIVATE_KEY = re.compile(r"-----BEGIN (?:[A-Z0-9]+ )*PRIVATE KEY(?: BLOCK)?-----")
 KEY_END = re.compile(r"-----END (?:[A-Z0-9]+ )*PRIVATE KEY(?: BLOCK)?-----")
 KEY_BODY = re.compile(r"[A-Za-z0-9+/]{16}")
-URL = re.compile(r"""(?<=[A-Za-z0-9])://([^\s:/@'"`<>]*):([^\s@'"`<>]+)@(?=[\w\[])""")
+#: What belongs to a key without a closing line: headers and lines of its body, also as escaped or joined literals.
+KEY_REST = re.compile(r"""(?:(?:\\[nr]|[\s"'+,\\])*+(?:[A-Za-z0-9+/=]{16,}+|[A-Z][A-Za-z\-]+: [^\n\\]*+))*+(?:(?:\\[nr]|[\s"'+,\\])*+[A-Za-z0-9+/=]{1,15}(?=["'\\\r\n]|\Z))?""")
+URL = re.compile(r"""(?<=[A-Za-z0-9])://([^\s:/@'"`<>]*+):((?:(?!://)[^\s@'"`<>])++)@(?=[\w\[])""")
 HEADER = re.compile(r"(?i)\b(bearer|basic|authorization: token)\s+([A-Za-z0-9+/=_.\-~]{8,})")
 OPTION = re.compile(r"""(?<=\s)--?(?:password|passwd|pass|passphrase|token|secret|api-key|auth-token|access-token)(?:=|\s+)(["']?)([^\s"']+)\1""")
-SHORT_OPTION = re.compile(r"""(?:\blogin\b|\bsshpass\b|\bmysql\w*\b|\bpsql\b|\bmongo\w*\b)[^\n|;&]*?\s-p\s*(["']?)([^\s"']+)\1""")
+SHORT_OPTION = re.compile(r"""\s-p\s*(["']?)([^\s"']+)\1""")
+#: One command of a line, and the commands whose -p is a password.
+COMMAND = re.compile(r"[^\n|;&]++")
+LOGIN = re.compile(r"\b(?:login|sshpass|mysql\w*|psql|mongo\w*)\b")
 USER_OPTION = re.compile(r"""(?<=\s)(?:-u|--user)(?:=|\s+)(["']?)[^\s:"']+:([^\s"'/]+)\1(?=\s|$)""")
 SAID = re.compile(r"""(?i)\b(?:passwords?|passphrase|secret|api key|token|key)\s+(?:is\s+|was\s+)?(["'`]?)([^\s"'`,;]{6,})\1""")
 XML_PAIR = re.compile(r"""name\s*=\s*["']([\w.\-]+)["']\s+value\s*=\s*["']([^"'<>]*)["']""")
@@ -51,7 +57,7 @@ NAME_END = re.compile(r"[\w.\-]*")
 REST = re.compile(
     r"""(["']?\]?)(?:\s*:\s*(?:&(?:'static\s+)?)?(?:(?:str|string|String|any|char)\b|\[u8\])(?:\s*\[\])?)?\s*(?::=|=>|=|:|>|(?=[ \t]+["']))[ \t]*\(?\s*(?:[brfu]|\\)?(?:(["'`])((?:(?!\2)[^\n\\]|\\.)*)\2)"""
 )
-REST_PLAIN = re.compile(r"""["']?[ \t]*(?::=|=>|=|:|>)[ \t]*([^\s"'`<>,;(){}\[\]\\]+)""")
+REST_PLAIN = re.compile(r"""["']?[ \t]*(?::=|=>|=|:|>)[ \t]*((?:[^\s"'`<>,;(){}\[\]\\&]|&(?![\w.\-]+=))+)""")
 STRONG_NAME = re.compile(r"(?:password|passwd|passphrase|pwd|^pass$|(?:^|admin|root|user|db|smtp)pass$|secret(?!store|ref|name|manager|path|file)|apikey|accesskey|signingkey|encryptionkey|privatekey|masterkey|credentials?$)")
 TOKEN_NAME = re.compile(r"(?:token|authkey|sessionkey)$")
 NO_NAME = re.compile(r"(?:field|selector|input|hint|policy|length|len|ttl|expiry|url|uri|path|file|label|prompt|regex|pattern|type|count|hash|digest|store|env|var|ref|stdin|public\w*|enabled|required|prefix|suffix)$")
@@ -77,6 +83,10 @@ PARTS = re.compile(r"[A-Za-z0-9]+")
 WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])|\d+")
 
 
+#: No rule takes a value under six characters.
+LEAST = 6
+
+
 class Span(NamedTuple):
     start: int
     end: int
@@ -197,19 +207,23 @@ def _at(low: str, word: str) -> Iterator[int]:
 
 
 def find(text: str) -> list[Span]:
-    """Credentials of a text in order of position; spans may overlap. Plain substring searches decide which patterns run."""
+    """Credentials of a text in order of position; spans may overlap. Plain substring searches decide which patterns run;
+    time is in proportion to the length."""
     out: list[Span] = []
+    if len(text) < LEAST:
+        return out
     low = _lower(text)
     if "PRIVATE KEY" in text:
-        for m in PRIVATE_KEY.finditer(text):
-            if KEY_BODY.search(text, m.end(), m.end() + 400):
-                stop = KEY_END.search(text, m.end())
-                out.append(Span(m.start(), stop.end() if stop else m.end(), "private_key"))
+        heads = list(PRIVATE_KEY.finditer(text))
+        for m, after in zip(heads, [*(h.start() for h in heads[1:]), len(text)]):
+            stop = KEY_END.search(text, m.end(), after)
+            if KEY_BODY.search(text, m.end(), stop.start() if stop else after):
+                out.append(Span(m.start(), stop.end() if stop else KEY_REST.match(text, m.end(), after).end(), "private_key"))
     if any(w in text for w in VENDOR_WORDS):
         for m in VENDOR_START.finditer(text):
             more, end = _joined(text, m.end())
             value = m[0] + more
-            if (v := VENDOR.match(value)) and not PLACEHOLDER.search(v[0]) and random_enough(v[0], 0.6):
+            if (v := VENDOR.match(value)) and not PLACEHOLDER.search(v[0]) and random_enough(v[0], 0.6) and (v[0][:3] != "sk-" or max(map(len, PARTS.findall(v[0]))) >= 16):
                 out.append(Span(m.start(), end if more else m.start() + len(v[0]), "vendor"))
     if "://" in text and "@" in text:
         for m in URL.finditer(text):
@@ -220,35 +234,57 @@ def find(text: str) -> list[Span]:
             ok = _basic(m[2]) if m[1].lower() == "basic" else like_token(m[2])
             if ok:
                 out.append(Span(m.start(2), m.end(2), "header"))
-    for sign, p in ((" --", OPTION), (" -p", SHORT_OPTION), (" -u ", USER_OPTION), (" --user", USER_OPTION)):
+    if " -p" in text:
+        out += [Span(m.start(2), m.end(2), "option") for m in _short_options(text) if like_password(m[2])]
+    for sign, p in ((" --", OPTION), (" -u ", USER_OPTION), (" --user", USER_OPTION)):
         if sign in text:
             out += [Span(m.start(2), m.end(2), "option") for m in p.finditer(text) if like_password(m[2])]
     if "<property" in text or "value=" in text:
         out += [Span(m.start(2), m.end(2), "named") for m in XML_PAIR.finditer(text) if _named(m[1], m[2])]
     for word in WORDS:
+        done = value_end = 0
         for at in _at(low, word):
-            a, z = at, NAME_END.match(text, at + len(word)).end()
+            a = at
             if a == 0 or not text[a - 1].isalnum():
                 m = SAID.match(text, a if word != "key" or low[max(0, a - 4) : a] != "api " else a - 4)
                 if m and said_aloud(word, m[2]):
                     out.append(Span(m.start(2), m.end(2), "said"))
-            while a > 0 and (text[a - 1].isalnum() or text[a - 1] in "_-."):
+            if at < done:
+                continue  # the same name
+            while a > done and (text[a - 1].isalnum() or text[a - 1] in "_-."):
                 a -= 1
+            done = z = NAME_END.match(text, at + len(word)).end()
             name = text[a:z]
+            if a < value_end and text[a - 1] in "=:>":
+                continue  # a value that looks like a name
             m = REST.match(text, z)
             if m:
                 more, end = _joined(text, m.end(3))
                 if _named(name, m[3] + more):
                     out.append(Span(m.start(3), end if more else m.end(3), "named"))
-            elif (m := REST_PLAIN.match(text, z)) and _named(name, m[1].rstrip(".")):
-                out.append(Span(m.start(1), m.end(1), "named"))
+            elif m := REST_PLAIN.match(text, z):
+                value_end = m.end(1)
+                if _named(name, m[1].rstrip(".")):
+                    out.append(Span(m.start(1), m.end(1), "named"))
     out += _bare(text, out)
     return sorted(set(out))
 
 
+def _short_options(text: str) -> Iterator[re.Match]:
+    """The first -p of every command that takes a password there."""
+    for m in COMMAND.finditer(text):
+        if text.find(" -p", m.start(), m.end()) >= 0 and (login := LOGIN.search(text, m.start(), m.end())) and (p := SHORT_OPTION.search(text, login.end(), m.end())):
+            yield p
+
+
 def _bare(text: str, known: list[Span]) -> Iterator[Span]:
     """Every literal and long token that is generated text by itself, in no span of `known` and no PEM block."""
-    taken = sorted([(s.start, s.end) for s in known] + ([m.span() for m in PEM.finditer(text)] if "-----BEGIN" in text else []))
+    taken: list[list[int]] = []  # disjoint, in order
+    for a, z in sorted([(s.start, s.end) for s in known] + ([m.span() for m in PEM.finditer(text)] if "-----BEGIN" in text else [])):
+        if taken and a <= taken[-1][1]:
+            taken[-1][1] = max(taken[-1][1], z)
+        else:
+            taken.append([a, z])
     for pattern, group, least in ((LITERAL, 2, 16), (LONG, 0, 20)):
         for m in pattern.finditer(text):
             a, z = m.span(group)
@@ -259,7 +295,8 @@ def _bare(text: str, known: list[Span]) -> Iterator[Span]:
             for start, value in _values(m[group] + more, a) if not more else [(a, m[group] + more)]:
                 stop = end if more else start + len(value)
                 if generated(value, least if quote and quote in "\"'`" else 20) and not NOT_SECRET.search(text[max(0, start - 40) : start]):
-                    if not any(x < stop and start < y for x, y in taken):
+                    i = bisect_left(taken, [stop])
+                    if not i or taken[i - 1][1] <= start:
                         yield Span(start, stop, "generated")
 
 
@@ -292,16 +329,23 @@ def mask(text: str | None) -> str | None:
     if not text:
         return text
     out, last = [], 0
-    for s in find(text):
-        if s.end <= last:
-            continue
-        a = max(s.start, last)
-        hidden = text[a : s.end]
-        out += [text[last:a], MASK, "\n" * (hidden.count("\n") if s.rule == "private_key" and '"' not in hidden and "'" not in hidden else 0)]
-        last = s.end
+    for a, z, newlines in _hidden(text, find(text)):
+        out += [text[last:a], MASK, "\n" * newlines]
+        last = z
     return "".join(out) + text[last:]
 
 
+def _hidden(text: str, spans: list[Span]) -> Iterator[tuple[int, int, int]]:
+    """(start, end, line ends to keep) of what is replaced; where spans overlap, the rest of the later one."""
+    last = 0
+    for s in spans:
+        if s.end > last:
+            a = max(s.start, last)
+            hidden = text[a : s.end]
+            yield a, s.end, hidden.count("\n") if s.rule == "private_key" and '"' not in hidden and "'" not in hidden else 0
+            last = s.end
+
+
 def strings(value: object, path: str = "") -> Iterator[tuple[str, str]]:
     """(dotted path, text) of every string in a decoded JSON value; array items share their array's path."""
     if isinstance(value, str):
@@ -325,7 +369,7 @@ def in_files(files: DataFrame) -> DataFrame:
 
 
 def in_records(records: DataFrame) -> DataFrame:
-    """(origin, row_id, field, line_no) of record_id, raw; a line that is no JSON object has none."""
+    """(origin, row_id, field, line_no) of record_id, raw; a line that is no JSON has none."""
 
     def go(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
@@ -335,11 +379,8 @@ def in_records(records: DataFrame) -> DataFrame:
                     value = json.loads(raw)
                 except (ValueError, TypeError, RecursionError):
                     continue
-                if not isinstance(value, dict):
-                    continue
                 for path, text in strings(value):
-                    if len(text) >= 12:
-                        rows += [("hook_records", i, path, n) for n in lines(text)]
+                    rows += [("hook_records", i, path, n) for n in lines(text)]
             yield pd.DataFrame(rows, columns=["origin", "row_id", "field", "line_no"]).drop_duplicates()
 
     return records.select("record_id", "raw").mapInPandas(go, "origin string, row_id long, field string, line_no int")
@@ -355,26 +396,40 @@ def masked(df: DataFrame, column: str) -> DataFrame:
     return df.withColumn(column, hide(F.col(column)))
 
 
+JSON_STRING = re.compile(r'"((?:[^"\\]|\\.)*+)"(\s*:)?')
+#: One character of a string as it is written; a pair of surrogates is one.
+JSON_CHAR = re.compile(r"\\u[dD][89abAB][0-9a-fA-F]{2}\\u[dD][c-fC-F][0-9a-fA-F]{2}|\\u[0-9a-fA-F]{4}|\\.|.", re.S)
+
+
+def mask_json(raw: str | None) -> str | None:
+    """A line of JSON with the credentials in its strings masked where they stand; all else stays byte for byte, and so
+    does a line that is no JSON."""
+    try:
+        json.loads(raw)
+    except (ValueError, TypeError, RecursionError):
+        return raw
+    out, last = [], 0
+    for m in JSON_STRING.finditer(raw):
+        if m[2] or m.end(1) - m.start(1) < LEAST:
+            continue
+        text = json.loads(f'"{m[1]}"') if "\\" in m[1] else m[1]
+        spans = find(text)
+        if not spans:
+            continue
+        # Where each character of the text stands in the line.
+        at = [x.start() for x in JSON_CHAR.finditer(raw, m.start(1), m.end(1))] if "\\" in m[1] else range(m.start(1), m.end(1))
+        at = [*at, m.end(1)]
+        for a, z, newlines in _hidden(text, spans):
+            out += [raw[last : at[a]], MASK, "\\n" * newlines]
+            last = at[z]
+    return "".join(out) + raw[last:] if out else raw
+
+
 def masked_records(df: DataFrame, column: str = "raw") -> DataFrame:
-    """`df` with the credentials inside the strings of a JSON column masked; other lines stay byte for byte."""
-
-    def inside(value: object) -> object:
-        if isinstance(value, str):
-            return mask(value)
-        if isinstance(value, dict):
-            return {k: inside(v) for k, v in value.items()}
-        return [inside(v) for v in value] if isinstance(value, list) else value
-
-    def one(raw: str | None) -> str | None:
-        try:
-            value = json.loads(raw)
-        except (ValueError, TypeError, RecursionError):
-            return raw
-        new = inside(value)
-        return raw if new == value else json.dumps(new, ensure_ascii=False)
+    """`df` with the credentials inside the strings of a JSON column masked."""
 
     @F.pandas_udf("string")
     def hide(s: pd.Series) -> pd.Series:
-        return s.map(one)
+        return s.map(mask_json)
 
     return df.withColumn(column, hide(F.col(column)))
