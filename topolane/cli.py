@@ -1,4 +1,4 @@
-"""python -m topolane.cli COMMAND: index, sync, status, context, map, stats, ingest over a stored index."""
+"""python -m topolane.cli COMMAND: index, sync, status, context, map, stats, ingest, hook over a stored index."""
 
 from __future__ import annotations
 
@@ -23,7 +23,7 @@ def guarded(path: str, force: bool) -> str:
 
 def main(argv: list[str] | None = None) -> int:
     a = argparse.ArgumentParser(prog="topolane")
-    a.add_argument("command", choices=["index", "sync", "status", "context", "map", "search", "stats", "ingest"])
+    a.add_argument("command", choices=["index", "sync", "status", "context", "map", "search", "stats", "ingest", "hook"])
     a.add_argument("text", nargs="?", default=".")
     a.add_argument("--path", default=".")
     a.add_argument("--store")
@@ -36,6 +36,15 @@ def main(argv: list[str] | None = None) -> int:
     spark = get_session("topolane-cli")
     root = guarded(o.text if o.command in ("index", "sync") else o.path, o.force)
     store = o.store or str(Path(root) / ".topolane")
+    ledger = str(Path(store) / "ledger.jsonl")
+    if o.command == "hook":
+        from topolane.sources import ledger_file
+
+        Path(store).mkdir(parents=True, exist_ok=True)
+        answer = ledger_file.hook(spark, ledger, o.text, sys.stdin.read((1 << 20) + 1))
+        if answer is not None:
+            print(json.dumps(answer))
+        return 0
     if o.command == "ingest":
         from pyspark.sql import functions as F
 
@@ -47,7 +56,10 @@ def main(argv: list[str] | None = None) -> int:
         events = [] if why else [r.ledger_event for r in translate(row).collect()]
         print(json.dumps({"accepted": why is None, "reason": why, "events": events}))
         return int(why is not None)
-    if o.command in ("index", "sync"):
+    if o.command == "sync":
+        print(json.dumps(Project.sync(spark, root, store, ledger)[1]))
+        return 0
+    if o.command == "index":
         p = Project.index(spark, root, store)
         print(json.dumps({"files": p.files.count(), "nodes": p.nodes.count(), "edges": p.edges.count()}))
         return 0

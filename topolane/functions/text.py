@@ -61,10 +61,11 @@ def redact_text(c: Column) -> Column:
 
 
 def identifier_words(c: Column) -> Column:
-    """Words of an identifier: cut at other characters and at lower-to-upper steps; lower case."""
+    """Words of an identifier: cut at other characters and at lower-to-upper steps; ASCII letters in lower case."""
     spaced = F.regexp_replace(c, r"([\p{Ll}])(?=[\p{Lu}])", "$1 ")
     words = F.split(F.regexp_replace(spaced, r"[^\p{L}\p{N}]+", " "), " ", -1)
-    return F.transform(F.filter(words, lambda w: w != ""), F.lower)
+    upper, lower = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+    return F.transform(F.filter(words, lambda w: w != ""), lambda w: F.translate(w, upper, lower))
 
 
 def truncate(c: Column, n: int) -> Column:

@@ -46,7 +46,7 @@ def expand(edges: DataFrame, seeds: DataFrame, depth: int, reverse: bool = True,
     return seen
 
 
-def weighted_distances(edges: DataFrame, seeds: DataFrame, wanted: int, uncertain_weight: int = 2, rounds: int = 40) -> DataFrame:
+def weighted_distances(edges: DataFrame, seeds: DataFrame, wanted: int, uncertain_weight: int = 2) -> DataFrame:
     """(node_id, distance) from the seeds over undirected edges; calls and implements weigh 1, others 2.
 
     Relaxation in order of distance: after the round for distance d everything within d is final, so it ends as
@@ -56,7 +56,9 @@ def weighted_distances(edges: DataFrame, seeds: DataFrame, wanted: int, uncertai
     both = edges.select(F.explode(F.array(F.struct(F.col("src").alias("at"), F.col("dst").alias("to")), F.struct(F.col("dst").alias("at"), F.col("src").alias("to")))).alias("e"), weight.alias("w"))
     steps = cut(both.groupBy("e.at", "e.to").agg(F.min("w").alias("w")))
     known = cut(seeds.select("node_id").distinct().withColumn("distance", F.lit(0)))
-    for d in range(rounds):
+    d = -1
+    while True:
+        d += 1
         out = known.where(F.col("distance") == d).join(steps, F.col("node_id") == F.col("at")).select(F.col("to").alias("node_id"), (F.col("distance") + F.col("w")).alias("distance"))
         known = cut(known.unionByName(out).groupBy("node_id").agg(F.min("distance").alias("distance")))
         counts = known.agg(F.count(F.when(F.col("distance") <= d + 1, 1)), F.max("distance")).first()
@@ -118,3 +120,37 @@ def file_dependents(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     out = edges.where(F.col("kind") != "contains").join(n.withColumnsRenamed({"node_id": "src", "path": "dependent", "repo": "r"}), "src")
     out = out.join(n.withColumnsRenamed({"node_id": "dst"}), "dst")
     return out.where("path <> dependent").select("repo", "path", "dependent").distinct()
+
+
+def adjacency(edges: DataFrame) -> DataFrame:
+    """(node_id, outgoing, incoming): the edge ids of each node in order; `edges` has edge_id. A hub's list is as long as its
+    degree, so queries join edges instead and this is for what wants lists."""
+    ends = edges.select("edge_id", F.explode(F.array(F.struct(F.col("src").alias("node_id"), F.lit(True).alias("out")), F.struct(F.col("dst").alias("node_id"), F.lit(False).alias("out")))).alias("e"))
+    pick = lambda out: F.array_sort(F.collect_list(F.when(F.col("e.out") == out, F.col("edge_id"))))
+    return ends.groupBy("e.node_id").agg(pick(True).alias("outgoing"), pick(False).alias("incoming"))
+
+
+def add_nodes(nodes: DataFrame, new: DataFrame) -> DataFrame:
+    """`nodes` with new ones (no node_id) numbered after the last; no single task numbers them."""
+    from topolane.operators.index import numbered
+
+    base = nodes.agg(F.coalesce(F.max("node_id"), F.lit(-1)) + 1).first()[0]
+    order = [c for c in ("repo", "path", "start_line", "label") if c in new.columns] or new.columns
+    more = numbered(new, order).withColumn("node_id", F.col("node_id") + base)
+    return nodes.unionByName(more.select(*[F.col(c) if c in more.columns else F.lit(None).alias(c) for c in nodes.columns]))
+
+
+def add_edges(nodes: DataFrame, edges: DataFrame, new: DataFrame) -> DataFrame:
+    """`edges` with new ones; an edge whose source or target is no node raises an error when it is read."""
+    known = nodes.select("node_id").distinct()
+    ends = new.join(known.select(F.col("node_id").alias("__s")), F.col("src") == F.col("__s"), "left").join(known.select(F.col("node_id").alias("__d")), F.col("dst") == F.col("__d"), "left")
+    wrong = F.col("__s").isNull() | F.col("__d").isNull()
+    told = F.concat(F.lit("no such node: "), F.coalesce(F.col("src").cast("string"), F.lit("null")), F.lit(" to "), F.coalesce(F.col("dst").cast("string"), F.lit("null")))
+    checked = ends.withColumn("src", F.when(wrong, F.raise_error(told).cast("bigint")).otherwise(F.col("src")))
+    return edges.unionByName(checked.select(*[F.col(c) if c in new.columns else F.lit(None).alias(c) for c in edges.columns]))
+
+
+def with_attributes(table: DataFrame, attributes: DataFrame, key: str = "node_id") -> DataFrame:
+    """`table` with a map of attributes from rows (key, name, value); of a name set twice the greatest value stays."""
+    per = attributes.groupBy(key, "name").agg(F.max("value").alias("value")).groupBy(key).agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("name", "value")))).alias("attributes"))
+    return table.join(per, key, "left")

@@ -26,7 +26,7 @@ def numbered(df: DataFrame, order: list[str], name: str = "node_id", parts: int
 
 def assemble(fragments: DataFrame, repo: str = "repo") -> tuple[DataFrame, DataFrame]:
     """(nodes, edges) of fragments with a `repo` column; boundary nodes are numbered after the definitions."""
-    frags = fragments
+    frags = cut(fragments)  # parsed once; nodes, relations and references are read from it
     nodes = cut(numbered(flat_nodes(frags, [repo]).withColumnRenamed(repo, "repo"), ["repo", "path", "local_id"]))
     key = nodes.select("repo", "path", "local_id", "node_id", "kind")
     end = lambda name, extra=(): key.select("repo", "path", F.col("local_id").alias(name + "_local_id"), F.col("node_id").alias(name), *extra)
@@ -44,3 +44,11 @@ def assemble(fragments: DataFrame, repo: str = "repo") -> tuple[DataFrame, DataF
     extra = boundaries.join(sites, "node_id").select("node_id", "repo", "kind", "label", F.lit(None).cast("string").alias("qualified_name"), F.col("at").alias("path"), F.col("line").alias("start_line"), F.col("line").alias("end_line"))
     out = nodes.select("node_id", "repo", "kind", "label", "qualified_name", "path", "start_line", "end_line").unionByName(extra.distinct())
     return cut(out), cut(edges.unionByName(found))
+
+
+def numbered_edges(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """`edges` with edge_id from 0: relations inside of files, then containment, then resolved ones, each by path and place."""
+    where = nodes.select(F.col("node_id").alias("src"), F.col("path").alias("__path"))
+    phase = F.when(F.col("kind") == "contains", 1).when(F.col("line").isNull(), 0).otherwise(2)
+    placed = edges.join(where, "src", "left").withColumn("__phase", phase)
+    return numbered(placed, ["__phase", "__path", "line", "src", "dst", "kind"], "edge_id").select("edge_id", *edges.columns)

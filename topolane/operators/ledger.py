@@ -99,6 +99,73 @@ def projection(facts: DataFrame, lane: list[str], limit: int = 580) -> DataFrame
     return text.withColumn("text", cut).withColumn("estimated_tokens", F.ceil(F.char_length("text") / 4))
 
 
+#: Which field of an event's payload is free text and is redacted; paths are redacted each.
+FREE_TEXT = {
+    "map_rendered": "query", "authorization_requested": "action", "edit_authorized": "action", "verification_started": "command",
+    "verification_passed": "command", "verification_failed": "command", "blocked": "reason", "completed": "summary",
+}
+PAYLOAD = (
+    "struct<files:bigint,changed:bigint,removed:bigint,nodes:bigint,edges:bigint,map_id:string,query:string,truncated:boolean,"
+    "anchors:array<struct<visual_id:string,path:string,start_line:bigint>>,action:string,paths:array<string>,command:string,exit_code:bigint,output_bytes:bigint,reason:string,summary:string>"
+)
+
+
+def redact_event(event: Column, payload: Column) -> Column:
+    """A payload (of type PAYLOAD) with the free text of its event redacted, and the paths of an edit."""
+    out = payload
+    for field in sorted(set(FREE_TEXT.values())):
+        kinds = [e for e, f in FREE_TEXT.items() if f == field]
+        out = out.withField(field, F.when(event.isin(*kinds), redact_text(out[field])).otherwise(out[field]))
+    return out.withField("paths", F.when(event.isin("edit_applied", "edit_observed"), F.transform(out["paths"], redact_text)).otherwise(out["paths"]))
+
+
+def redact_source(harness: Column, session: Column) -> tuple[Column, Column]:
+    """Lane names, redacted and at most 48 and 96 characters long."""
+    return F.substring(redact_text(harness), 1, 48), F.substring(redact_text(session), 1, 96)
+
+
+def event_lines(event: Column, payload: Column) -> Column:
+    """Lines of an event in a projection, an empty array for events that have none."""
+    p = payload
+    flag = lambda c: F.coalesce(c.cast("string"), F.lit("false"))
+    number = lambda c: F.coalesce(c.cast("string"), F.lit("0"))
+    text = lambda c: F.coalesce(c, F.lit(""))
+    anchors = F.array_join(F.transform(F.slice(F.coalesce(p["anchors"], F.array().cast("array<struct<visual_id:string,path:string,start_line:bigint>>")), 1, 3), lambda a: F.concat(text(a["visual_id"]), F.lit("="), text(a["path"]), F.lit(":"), number(a["start_line"]))), " ")
+    code = F.when(p["exit_code"].isNotNull(), F.concat(F.lit("Some("), p["exit_code"].cast("string"), F.lit(")"))).otherwise("None")
+    check = F.concat(F.lit("check "), text(p["command"]), F.lit(" success="), (event == "verification_passed").cast("string"), F.lit(" exit="), code, F.lit(" bytes="), number(p["output_bytes"]))
+    return (
+        F.when(event == "repository_synced", F.array(F.concat(F.lit("sync files="), number(p["files"]), F.lit(" changed="), number(p["changed"]), F.lit(" removed="), number(p["removed"]))))
+        .when(event == "map_rendered", F.array(F.concat(F.lit("map "), text(p["map_id"]), F.lit(" nodes="), number(p["nodes"]), F.lit(" truncated="), flag(p["truncated"])), anchors))
+        .when(event.isin("edit_applied", "edit_observed"), F.array(F.concat(F.lit("edit "), F.array_join(F.coalesce(p["paths"], F.array().cast("array<string>")), ","))))
+        .when(event.isin("verification_passed", "verification_failed"), F.array(check))
+        .when(event == "blocked", F.array(F.concat(F.lit("blocked "), text(p["reason"])))).when(event == "completed", F.array(F.concat(F.lit("complete "), text(p["summary"]))))
+        .otherwise(F.array().cast("array<string>"))
+    )
+
+
+def global_state(ledger: DataFrame, project: list[str]) -> DataFrame:
+    """(project, state, sequence): the state after the last event of any lane."""
+    return ledger.groupBy(*project).agg(F.max_by("state_after", "sequence").alias("state"), F.max("sequence").alias("sequence"))
+
+
+def session_projection(events: DataFrame, project: list[str], lane: list[str], order: list[str], states: DataFrame, event: str = "event", payload: str = "payload", limit: int = 580) -> DataFrame:
+    """(project, lane, state, sequence, text, estimated_tokens) of every lane in `states` (project, lane, state).
+
+    The head is `S`, the number of the project's events, and the lane's state; the latest map, edit, verification and
+    terminal event of the project follow. `payload` is of type PAYLOAD and is redacted here.
+    """
+    counted = events.groupBy(*project).agg(F.count(F.lit(1)).alias("sequence"))
+    rows = events.withColumn(payload, F.to_json(redact_event(F.col(event), F.col(payload))))
+    facts = latest_facts(rows, project, order, event, payload).withColumn("lines", event_lines(F.col("event"), F.from_json("payload", PAYLOAD)))
+    rank = F.array_position(F.array(*[F.lit(name) for name, _ in FACTS]), F.col("fact"))
+    said = facts.groupBy(*project).agg(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct(rank.alias("o"), "lines"))), lambda x: x["lines"])).alias("facts"))
+    title = F.replace(F.initcap(F.replace("state", F.lit("_"), F.lit(" "))), F.lit(" "), F.lit(""))
+    out = states.join(counted, project, "left").join(said, project, "left").withColumn("sequence", F.coalesce("sequence", F.lit(0)))
+    text = F.array_join(F.concat(F.array(F.concat(F.lit("S"), F.col("sequence").cast("string"), F.lit(" "), title)), F.coalesce("facts", F.array().cast("array<string>"))), "\n")
+    out = out.withColumn("text", text).withColumn("text", F.when(F.char_length("text") > limit, F.concat(F.substring("text", 1, limit - 1), F.lit("…"))).otherwise(F.col("text")))
+    return out.select(*project, *lane, "state", "sequence", "text", F.ceil(F.char_length("text") / 4).alias("estimated_tokens"))
+
+
 def append(stored: DataFrame, new: DataFrame) -> DataFrame:
     """New events whose correlation id is not stored yet and that are the first of their id; those without one pass."""
     named = new.where("correlation_id is not null")

@@ -61,9 +61,21 @@ def overlapping(nodes: DataFrame, ranges: DataFrame) -> DataFrame:
     return nodes.where(F.col("kind") != "file").join(r, on).where(meet).drop("r_repo", "r_path", "lo", "hi").distinct()
 
 
+#: What makes a path one of tests, in lower case.
+TEST_FOLDERS = ("/tests/", "/__tests__/", "/spec/")
+TEST_START = "tests/"
+TEST_ENDINGS = ("_test.rs", "_test.go", ".test.ts", ".test.tsx", ".spec.ts", ".spec.tsx")
+
+
 def is_test_path(c: Column) -> Column:
-    """Paths of tests by their usual places and names."""
-    return c.rlike(r"(^|/)(tests?|__tests__|spec|specs)/|(^|/)test_[^/]*$|_test\.[^/]+$|\.(test|spec)\.[^/]+$|Tests?\.(java|kt|cs)$")
+    """Paths of tests by their usual places and names, in any letter case."""
+    low = F.lower(c)
+    hit = low.startswith(TEST_START)
+    for part in TEST_FOLDERS:
+        hit = hit | low.contains(part)
+    for end in TEST_ENDINGS:
+        hit = hit | low.endswith(end)
+    return hit
 
 
 def parse_hunks(c: Column) -> Column:

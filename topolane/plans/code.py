@@ -21,9 +21,9 @@ def code_nodes(spark: SparkSession, sf: str) -> DataFrame:
     repo = table(spark, sf, "source_files").select("file_id", "repo")
     n = table(spark, sf, "file_nodes").join(repo, "file_id")
     return n.select(
-        (F.col("file_id") * 1000000 + F.col("local_id")).alias("node_id"), "repo", "kind", "label", "qualified_name",
+        (F.col("file_id") * 4294967296 + F.col("local_id")).alias("node_id"), "repo", "kind", "label", "qualified_name",
         X.normalize_path(F.col("path")).alias("path"), "start_line", "end_line", "file_id",
-        (F.col("file_id") * 1000000 + F.col("parent_local_id")).alias("parent_id"),
+        (F.col("file_id") * 4294967296 + F.col("parent_local_id")).alias("parent_id"),
     ).distinct()
 
 
@@ -100,9 +100,9 @@ tedges AS (
 """
 _NODES = r"""
 nodes AS (
-  SELECT DISTINCT f.file_id * 1000000 + f.local_id AS node_id, s.repo, f.kind, f.label, f.qualified_name,
+  SELECT DISTINCT f.file_id * 4294967296 + f.local_id AS node_id, s.repo, f.kind, f.label, f.qualified_name,
          trim(regexp_replace(replace(f.path, '\', '/'), '^(\./)+', ''), '/') AS path, f.start_line, f.end_line, f.file_id,
-         f.file_id * 1000000 + f.parent_local_id AS parent_id
+         f.file_id * 4294967296 + f.parent_local_id AS parent_id
   FROM file_nodes f JOIN source_files s ON s.file_id = f.file_id)
 """
 _CALLS = (

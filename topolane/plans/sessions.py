@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from topolane.functions import text as X
-from topolane.operators import dedup, evaluate, ledger, lifecycle, packet
+from topolane.operators import dedup, evaluate, hooks, ledger, lifecycle, packet
 from topolane.schemas import EVENTS, STATES, TRANSITIONS
 from topolane.session import table
 
@@ -127,6 +127,32 @@ def lifecycle_states(spark, sf):
     return ledger.replay(e, ["harness", "session_id"], "received_at", "tie", "ledger_event")
 
 
+@query(f"""WITH d AS (SELECT delivery_id, {_REJECT} IS NULL AS accepted, coalesce(received_at, TIMESTAMP '9999-12-31') AS arrived, source.harness || chr(0) || source.session_id || chr(0) || source.event_id AS id,
+ coalesce(json_extract_string(event, '$.type'), '') = 'context_requested' AS context FROM lifecycle_deliveries)
+SELECT delivery_id, accepted, accepted AND NOT context AND row_number() OVER (PARTITION BY accepted, context, id ORDER BY arrived, delivery_id) > 1 AS duplicate FROM d""")
+def lifecycle_responses(spark, sf):
+    """Answers to all deliveries; number and state, which need the order of a session, are tested against brute force."""
+    d = table(spark, sf, "lifecycle_deliveries").select("delivery_id", "received_at", "format_version", "source", "cwd", "event")
+    return hooks.respond(d).select("delivery_id", "accepted", "duplicate")
+
+
+@query()
+def hook_ledger(spark, sf):
+    """Ledger events that all hook records give, each by the state of its session."""
+    return hooks.emit(hooks.acts(table(spark, sf, "hook_records").select("harness", "file_no", "line_no", "record_id", "raw")))
+
+
+@query()
+def ledger_sessions(spark, sf):
+    """Projection of every session of the hook ledger, with the facts of its harness."""
+    e = hook_ledger(spark, sf).withColumn("at", F.struct("file_no", "line_no", "record_id", "step"))
+    states = e.groupBy("harness", "session_id").agg(F.max_by("state_after", "at").alias("state"))
+    payload = F.from_json(F.to_json(F.struct(
+        F.col("detail").alias("command"), F.split("detail", ",").alias("paths"), F.col("detail").alias("reason"), F.col("detail").alias("summary"), F.col("detail").alias("action"),
+    )), ledger.PAYLOAD)
+    return ledger.session_projection(e.withColumn("payload", payload), ["harness"], ["session_id"], ["at"], states, "ledger_event", "payload")
+
+
 # ---- packing and delivery ---------------------------------------------------------------------------------------------
 
 

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import json
 import subprocess
 from dataclasses import dataclass, field
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -15,7 +17,8 @@ from topolane.operators.index import assemble
 from topolane.operators.select import select_subgraph
 from topolane.sources.extract import fragments
 from topolane.sources.git import changed_ranges
-from topolane.sources.index import IndexStore, scan
+from topolane.sources import ledger_file
+from topolane.sources.index import IndexStore, diff, report, scan
 
 MAX_INPUT = 10_000
 #: Lines of each sort that a packet of at most 2,000 tokens could hold.
@@ -63,6 +66,19 @@ class Project:
             IndexStore(spark, store).save(fragments=frags, nodes=nodes, edges=edges, files=files)
         return cls(nodes, edges, files)
 
+    @classmethod
+    def sync(cls, spark: SparkSession, root: str, store: str, ledger: str) -> tuple[Project, dict]:
+        """Refresh the stored index and write a repository_synced event if anything changed or the ledger is empty."""
+        old = IndexStore(spark, store).load()
+        p = cls.index(spark, root, store)
+        scans = lambda df: df.select("path", "content_hash", F.lit(0).alias("scanned_at"), F.lit(0).alias("file_id"))
+        then = scans(old["files"]) if old else scans(p.files).limit(0)
+        told = report(diff(then, scans(p.files), ("path",))).first().asDict()
+        told |= {"nodes": p.nodes.count(), "edges": p.edges.count()}
+        if told["changed"] or told["removed"] or not Path(ledger).exists() or not Path(ledger).stat().st_size:
+            ledger_file.append(ledger, [{"type": "repository_synced", "detail": json.dumps(told)}])
+        return p, told
+
     @classmethod
     def open(cls, spark: SparkSession, store: str) -> Project | None:
         """The stored index without a scan."""

@@ -25,11 +25,13 @@ def get_session(app: str = "topolane", cores: str | int = "*", shuffle_partition
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Use the folder named in spark.checkpoint.dir; a folder of our own only where none is set (tests)."""
+    """Use the folder named in spark.checkpoint.dir; a folder of our own only in local mode where none is set."""
     sc = spark.sparkContext
     if sc._jsc.sc().getCheckpointDir().isDefined():
         return
     named = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
+    if not named and not sc.master.startswith("local"):
+        raise ValueError("on a cluster spark.checkpoint.dir must name a folder that all executors share")
     sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="topolane-ckpt-"))
 
 

@@ -81,3 +81,41 @@ def append(path: str, events: list[dict]) -> int:
             f.flush()
             os.fsync(f.fileno())
         return last
+
+
+def hook(spark: SparkSession, path: str, agent: str, text: str, most: int = 1 << 20) -> dict | None:
+    """One provider record into the ledger file; the answer to the provider, None if there is none.
+
+    Fails open: whatever goes wrong, nothing is written and there is no answer.
+    """
+    from topolane.operators import hooks
+
+    try:
+        said = json.loads(text) if len(text.encode()) <= most else None
+        if not isinstance(said, dict) or agent.lower() not in hooks.ROUTING:
+            return None
+        means = hooks.ROUTING[agent.lower()].get(said.get("hook_event_name"))
+        lane = (agent.lower(), said.get("session_id") or said.get("conversation_id"))
+        if means in ("context", "prompt"):
+            done = read(spark, path) if Path(path).exists() else None
+            n = done.count() if done is not None else 0
+            if not n:
+                return {}
+            state = done.where((F.col("harness") == lane[0]) & F.col("session_id").eqNullSafe(F.lit(lane[1]))).agg(F.max_by("state_after", "sequence")).first()[0] or "idle"
+            context = f"Session ledger:\nS{n} {''.join(w.capitalize() for w in state.split('_'))}"
+            return {"additional_context": context} if lane[0] == "cursor" else {"hookSpecificOutput": {"hookEventName": said["hook_event_name"], "additionalContext": context}}
+        row = spark.createDataFrame([(agent, 0, 0, 0, text)], "harness string, file_no int, line_no int, record_id int, raw string")
+        with Lock(path + ".hook.lock"):
+            state, done = "idle", hooks.acts(row).first()
+            if done is not None and Path(path).exists():
+                # One look at the ledger: the lane's state, and whether the record has acted before.
+                mine = (F.col("harness") == lane[0]) & F.col("session_id").eqNullSafe(F.lit(lane[1]))
+                held = read(spark, path).agg(F.max_by(F.when(mine, F.col("state_after")), F.when(mine, F.col("sequence"))), F.max(F.col("correlation_id").startswith(done.correlation + ":"))).first()
+                if held[1]:
+                    done = None
+                state = held[0] or "idle"
+            events = hooks.emit(hooks.acts(row), start=state).orderBy("step").collect() if done is not None else []
+            append(path, [{"harness": r.harness, "session_id": r.session_id, "correlation_id": r.correlation, "type": r.ledger_event, "detail": r.detail} for r in events])
+        return {} if means == "stop" or lane[0] == "cursor" and means else None
+    except Exception:
+        return None
