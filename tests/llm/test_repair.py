@@ -63,3 +63,12 @@ def test_text_beside_a_lost_character(spark):
     judged = E.cut(E.judge(docs))
     fixed = {r.doc_id: r for r in E.restored(docs, judged).collect()}
     assert fixed[1012].repaired == clean[:-1] + "\ufffd" and (fixed[1012].n_units, fixed[1012].n_lost) == (2, 1)
+
+
+def test_text_of_16_bits_read_byte_by_byte(spark):
+    wide = "Each node returns a list."
+    docs = table(spark, [("s0", "note", wide.encode("utf-16-le").decode("latin1")), ("s0", "note", "see: " + wide.encode("utf-16-be").decode("latin1") + " end"), ("s1", "note", "a\x00b"), ("s1", "note", "It stored `" + "GrÃ¶ÃŸe " * 40 + "` for `" + "Größe " * 40 + "`.")])
+    judged = E.cut(E.judge(docs))
+    assert {r.doc_id for r in E.garbled(judged).collect()} == {1000, 1001}
+    fixed = {r.doc_id: r.repaired for r in E.restored(docs, judged).collect()}
+    assert fixed[1000] == wide and fixed[1001] == f"see: {wide} end"

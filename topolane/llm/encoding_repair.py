@@ -53,9 +53,9 @@ WHOLE_WORDS = ("cp1251", "koi8-r", "cp866", "iso8859-5", "cp1253", "iso8859-7",
 #: Double-byte encodings read as a single-byte one.
 WIDE = ("shift_jis", "euc_jp", "gbk", "big5", "euc_kr")
 
-#: A replacement character stands alone, so that the text on either side of it is a unit of its own.
-RUN = re.compile(r"\ufffd+|[^\x00-\x7f\ufffd](?:[\x40-\x7e]?[^\x00-\x7f\ufffd])*[\x40-\x7e]?")
-QUOTED = re.compile(r"`[^`\n]{1,200}`")
+#: ASCII between null characters is text of 16 bits; a replacement character stands alone, so that the text on either side of it is a unit of its own.
+RUN = re.compile(r"\ufffd+|(?:[\x20-\x7e\t\r\n]\x00){4,}|(?:\x00[\x20-\x7e\t\r\n]){4,}|[^\x00-\x7f\ufffd](?:[\x40-\x7e]?[^\x00-\x7f\ufffd])*[\x40-\x7e]?")
+QUOTED = re.compile(r"`[^`\n]+`")
 WIDE_RUN = re.compile(r"[^\x00-\x7f]{3,}")
 ASCII_TEXT = re.compile("[ -~\t\r\n]{4,}")
 
@@ -170,6 +170,11 @@ class Chains:
             got = [(LOST, "")]
             self.keep(key, got)
             return got
+        if "\x00" in run:
+            # ASCII in 16 bits a character, read byte by byte.
+            got = [("utf-16>latin1", run.replace("\x00", ""))]
+            self.keep(key, got)
+            return got
         for e in READ_AS:
             once = self.from_utf8(run, e)
             if once is not None and once != run:
@@ -290,7 +295,7 @@ def scan(docs: DataFrame) -> DataFrame:
         for b in batches:
             rows = []
             for doc, source, kind, text in zip(b["doc_id"], b["source"], b["kind"], b["text"]):
-                if not text or text.isascii():
+                if not text or text.isascii() and "\x00" not in text:
                     continue
                 units: Counter = Counter()
                 for a, z in runs(text):
@@ -308,7 +313,7 @@ def scan(docs: DataFrame) -> DataFrame:
             yield flush()
 
     schema = "doc_id long, source string, kind string, left string, run string, right string, n long"
-    return docs.where("text is not null and text rlike '[^\\\\x00-\\\\x7f]'").mapInPandas(go, schema)
+    return docs.where("text is not null and text rlike '[^\\\\x01-\\\\x7f]'").mapInPandas(go, schema)
 
 
 def alternatives(units: DataFrame) -> DataFrame:

@@ -62,7 +62,7 @@ def _round(items: DataFrame, parts: int, number: int, capacity: int) -> DataFram
             return
         rows = pd.concat(got, ignore_index=True).sort_values(["size", "item"], ascending=[False, True], kind="stable")
         place, fill = best_fit(rows["size"].to_numpy(np.int64), capacity)
-        base = (number << 56) | (TaskContext.get().partitionId() << 32)
+        base = (number << 48) | (TaskContext.get().partitionId() << 28)
         yield pd.DataFrame({"item": rows["item"].to_numpy(np.int64), "bin": base + place, "fill": fill[place]})
 
     return items.repartition(parts, "item").mapInPandas(pack, "item long, bin long, fill long")
@@ -86,22 +86,26 @@ def pack(sized: DataFrame, capacity: int, size: str = "n_tokens", per_task: int
         return pieces.withColumns({"container_id": F.lit(None).cast("bigint"), "container_fill": F.lit(None).cast("bigint")}).drop("__item")
     items = pieces.select(F.col("__item").alias("item"), F.col("piece_size").alias("size"))
     levels: list[DataFrame] = []
-    count, parts = total, max(1, -(-total // per_task), min(64, -(-total // 4096)))
-    for number in range(1, 120):
+    count, parts, number = total, max(1, -(-total // per_task), min(64, -(-total // 4096))), 0
+    underfull = F.col("fill") < int(NEARLY_FULL * capacity)
+    while True:
+        number += 1
         level = cut(_round(items, parts, number, capacity))
         levels.append(level)
-        if parts == 1:
-            break
-        under = level.where(F.col("fill") < int(NEARLY_FULL * capacity)).select(F.col("bin").alias("item"), F.col("fill").alias("size")).distinct()
-        left = under.count()
-        if left == 0 or (left > 0.99 * count and number > 1):
+        under = level.where(underfull).select(F.col("bin").alias("item"), F.col("fill").alias("size")).distinct()
+        left = 0 if parts == 1 else under.count()
+        least = max(1, -(-left // per_task))
+        # One partition has seen the rest; or as few as can hold it have found nothing to merge.
+        if left == 0 or (left == count and parts == least):
             break
         items, count = under, left
-        parts = max(1, min(parts // FAN_IN, -(-left // 1024)), -(-left // per_task))
-    where = levels[0]
-    for level in levels[1:]:
-        nxt = level.select(F.col("item").alias("bin"), F.col("bin").alias("bin2"), F.col("fill").alias("fill2"))
-        where = where.join(nxt, "bin", "left").select("item", F.coalesce("bin2", "bin").alias("bin"), F.coalesce("fill2", "fill").alias("fill"))
+        parts = max(min(parts // FAN_IN, -(-left // 1024)), least)
+    # From the last round back: only what was underfull has moved on.
+    where = levels.pop()
+    while levels:
+        level = levels.pop()
+        moved = where.select(F.col("item").alias("bin"), F.col("bin").alias("to"), F.col("fill").alias("to_fill"))
+        where = level.where(~underfull).unionByName(level.where(underfull).join(moved, "bin").select("item", F.col("to").alias("bin"), F.col("to_fill").alias("fill")))
     where = where.select(F.col("item").alias("__item"), F.col("bin").alias("container_id"), F.col("fill").alias("container_fill"))
     return pieces.join(where, "__item").drop("__item")
 
