@@ -27,7 +27,10 @@ from topolane.session import cut
 
 LOST, LOST_MARK = "lost", "\ufffd"
 INTACT = "intact"
-ROUNDS = 3
+#: Most rounds of estimation, and the change of shares at which they end.
+ROUNDS, TOLERANCE = 8, 0.005
+#: A model of at most so many pairs (about 60 bytes each) is broadcast.
+BROADCAST = 500_000
 #: Share of units assumed garbled before anything is known: by a chain through UTF-8, whose structure is evidence in
 #: itself, and by any other; WEIGHT is the pseudo-count of that belief.
 PRIOR_UTF8, PRIOR_OTHER, WEIGHT = 0.02, 2e-4, 20.0
@@ -37,9 +40,6 @@ ASCII_PAIR, LEAVE_ASCII, BACKOFF, UNSEEN = -2.4, -2.5, -2.5, 0.02
 #: That both bytes of a 16-bit character are printable ASCII has a chance of about e^-2, which each of the two is credited.
 WIDE_CREDIT = 1.0
 FLUSH = 500_000
-#: An alternative whose fit is so much worse than the intact one's is ruled out (a factor of e^-40).
-HOPELESS = 40.0
-
 #: Encodings in which UTF-8 bytes were read; "sloppy" ones pass undefined bytes on as control characters.
 READ_AS = ("cp1252", "latin1", "iso8859-15", "cp1250", "iso8859-2", "cp1251", "koi8-r", "cp437", "cp850", "mac_roman", "cp1253", "cp1254", "cp866")
 #: Pairs (written in, read as) of encodings without the structure of UTF-8.
@@ -332,34 +332,41 @@ def alternatives(units: DataFrame) -> DataFrame:
     return units.mapInPandas(go, "uid long, left string, right string, chain string, restored string")
 
 
-def fitted(grams: DataFrame, alts: DataFrame, counts: DataFrame, own: DataFrame) -> DataFrame:
-    """`alts` with `fit`, the log-probability of each alternative under the pair counts; they are joined, never broadcast.
-
-    Leave-one-out: one occurrence (at most what `own`, id and w, says the alternative has put into the counts) is taken out
-    before it is judged, so that a garbled run that occurs once is no evidence for itself.
-    """
+def model(counts: DataFrame, vocabulary: DataFrame) -> DataFrame:
+    """(gram, n_gram, n_first, n_second, total) of every pair in `vocabulary` (gram): a few numbers for each distinct pair."""
     parts = counts.withColumns({"first": F.substring("gram", 1, 1), "second": F.substring("gram", 2, 1)})
     of_first = parts.groupBy("first").agg(F.sum("n").alias("n_first"))
-    given = parts.join(of_first, "first").select("gram", F.col("n").alias("n_gram"), "n_first")
-    total = parts.agg(F.sum("n").alias("total"))
-    alone = parts.groupBy("second").agg(F.sum("n").alias("n")).join(F.broadcast(total)).select("second", F.col("n").alias("n_second"), "total")
-    seen = grams.join(own, "id", "left").join(given, "gram", "left").join(alone, "second", "left")
-    mine = F.col("times") * F.least(F.coalesce("w", F.lit(0.0)), F.lit(1.0))
+    of_second = parts.groupBy("second").agg(F.sum("n").alias("n_second"))
+    total = parts.agg(F.coalesce(F.sum("n"), F.lit(1e6)).alias("total"))  # one row
+    seen = vocabulary.withColumns({"first": F.substring("gram", 1, 1), "second": F.substring("gram", 2, 1)})
+    seen = seen.join(counts.withColumnRenamed("n", "n_gram"), "gram", "left").join(of_first, "first", "left").join(of_second, "second", "left")
+    return seen.join(F.broadcast(total)).select("gram", "n_gram", "n_first", "n_second", "total")
+
+
+def fitted(weighted: DataFrame, known: DataFrame, n_known: int) -> DataFrame:
+    """(id, uid, chain, fit): the log-probability of each alternative under the model.
+
+    `weighted` has an alternative's pairs (`gs`, an array of gram and times) and `w`, what it has put into the counts.
+    Leave-one-out: one occurrence, at most w, is taken out before it is judged, so that a garbled run that occurs once is
+    no evidence for itself. The model is broadcast while it has at most BROADCAST pairs, and joined by pair beyond.
+    """
+    rows = weighted.select("id", "uid", "chain", "plain", F.least(F.coalesce("w", F.lit(0.0)), F.lit(1.0)).alias("w"), F.explode_outer("gs").alias("g")).select("id", "uid", "chain", "plain", "w", "g.*")
+    seen = rows.join(F.broadcast(known) if n_known <= BROADCAST else known, "gram", "left")
     none = F.lit(0.0)
-    less = lambda c: F.greatest(F.coalesce(F.col(c), none) - mine, none)
-    single = F.log((less("n_second") + UNSEEN) / (F.coalesce("total", F.lit(1e6)) + 1.0)) + BACKOFF
+    less = lambda c: F.greatest(F.coalesce(F.col(c), none) - F.col("times") * F.col("w"), none)
+    single = F.log((less("n_second") + UNSEEN) / (F.col("total") + 1.0)) + BACKOFF
     cost = F.greatest(F.log((less("n_gram") + UNSEEN * UNSEEN) / (less("n_first") + 1.0)), single)
-    cost = cost + F.when(F.col("gram").rlike("^[\\x00-\\x7f]"), LEAVE_ASCII).otherwise(0.0)
-    per = seen.groupBy("id").agg(F.sum(F.col("times") * cost).alias("logp"))
-    return alts.join(per, "id", "left").withColumn("fit", F.coalesce("logp", F.lit(0.0)) + F.col("plain")).drop("logp")
+    cost = cost + F.when(F.ascii("gram") < 128, LEAVE_ASCII).otherwise(0.0)
+    return seen.groupBy("id", "uid", "chain", "plain").agg(F.sum(F.col("times") * cost).alias("logp")).select("id", "uid", "chain", (F.coalesce("logp", none) + F.col("plain")).alias("fit"))
 
 
-def judge(docs: DataFrame, rounds: int = ROUNDS) -> DataFrame:
+def judge(docs: DataFrame, rounds: int = ROUNDS, tolerance: float = TOLERANCE) -> DataFrame:
     """(doc_id, source, kind, left, run, right, n, chain, restored, posterior) of every garbled unit.
 
     `docs` has doc_id, source, kind and text. Each round estimates from the posteriors of the last one: the share of
-    every chain in each (source, kind), and the pair counts of the text as it was before it was garbled. Everything
-    grows with the distinct suspicious units, not with the texts, and the rounds carry numbers, not strings.
+    every chain in each (source, kind), and the pair counts of the text as it was before it was garbled; it ends when no
+    share changes by more than `tolerance`, at the latest after `rounds`. Everything grows with the distinct suspicious
+    units, not with the texts; an alternative and its pairs are one row, exploded only behind the last exchange.
     """
     seen = cut(scan(docs))
     counts = cut(seen.where("doc_id is null").groupBy(F.col("run").alias("gram")).agg(F.sum("n").cast("double").alias("n")))
@@ -368,59 +375,54 @@ def judge(docs: DataFrame, rounds: int = ROUNDS) -> DataFrame:
     gone = rows.where(F.instr("run", LOST_MARK) > 0).select("doc_id", *group, *keys, "n", F.lit(LOST).alias("chain"), F.lit("").alias("restored"), F.lit(1.0).alias("posterior"))
     rows = rows.where(F.instr("run", LOST_MARK) == 0)
 
-    @F.pandas_udf("array<string>")
+    @F.pandas_udf("array<struct<gram:string,times:int>>")
     def grams_of(s: pd.Series) -> pd.Series:
-        return s.map(pairs)
+        return s.map(lambda x: [{"gram": g, "times": n} for g, n in Counter(pairs(x)).items()])
 
     # Units get numbers: one join on their strings, none after it.
     named = cut(rows.select(*keys).distinct().withColumn("uid", F.monotonically_increasing_id()))
     units = cut(rows.join(named, keys).select("doc_id", *[F.coalesce(c, F.lit("")).alias("g_" + c) for c in group], *group, "uid", "n"))
     group = ["g_source", "g_kind"]
-    alts = alternatives(named).withColumn("whole", F.concat("left", "restored", "right")).withColumn("grams", grams_of("whole"))
-    alts = alts.withColumn("plain", F.greatest(F.char_length("whole") - 1 - F.size("grams"), F.lit(0)) * (F.lit(ASCII_PAIR) + F.when(F.col("chain").startswith("utf-8>utf-16"), WIDE_CREDIT).otherwise(0.0)))
-    alts = cut(alts.select("uid", "chain", "restored", "plain", "grams").withColumn("id", F.monotonically_increasing_id()))
-    grams = alts.select("id", F.explode("grams").alias("gram")).groupBy("id", "gram").agg(F.count(F.lit(1)).alias("times"))
-    grams = cut(grams.withColumn("second", F.substring("gram", 2, 1)))
-    numbers = alts.select("id", "uid", "chain", "plain")
+    alts = alternatives(named).withColumn("whole", F.concat("left", "restored", "right")).withColumn("gs", grams_of("whole"))
+    n_pairs = F.aggregate("gs", F.lit(0), lambda a, g: a + g["times"])
+    credit = F.when(F.col("chain").startswith("utf-8>utf-16"), WIDE_CREDIT).otherwise(0.0)
+    alts = alts.withColumn("plain", F.greatest(F.char_length("whole") - 1 - n_pairs, F.lit(0)) * (F.lit(ASCII_PAIR) + credit))
+    alts = cut(alts.select("uid", "chain", "restored", "plain", "gs").withColumn("id", F.monotonically_increasing_id()))
+    carried = alts.select("id", "uid", "chain", "plain", "gs")
+    vocabulary = cut(alts.select(F.explode("gs.gram").alias("gram")).distinct())
+    n_known = vocabulary.count()
     # What a unit says does not depend on its document: units are pooled per group before the rounds.
-    pooled = units.groupBy(*group, "uid").agg(F.sum("n").alias("n"))
-    told = cut(pooled.join(numbers, "uid").select(*group, "uid", "n", "id", "chain"))
-    intact = cut(told.where(F.col("chain") == INTACT).groupBy("id").agg(F.sum("n").cast("double").alias("w")))
+    told = cut(units.groupBy(*group, "uid").agg(F.sum("n").alias("n")))
+    own = told.groupBy("uid").agg(F.sum("n").cast("double").alias("w")).withColumn("chain", F.lit(INTACT))
+    weighted = cut(carried.join(own, ["uid", "chain"], "left"))
+    expect = lambda df: df.where("w > 0").select("w", F.explode("gs").alias("g")).groupBy("g.gram").agg(F.sum(F.col("g.times") * F.col("w")).alias("n"))
+    merged = lambda a, b: a.unionByName(b).groupBy("gram").agg(F.sum("n").alias("n"))
     # Pairs outside the suspicious units, which no round changes.
-    inside = grams.join(intact, "id").groupBy("gram").agg(F.sum(F.col("times") * F.col("w")).alias("m"))
-    outside = cut(counts.join(inside, "gram", "left").select("gram", (F.col("n") - F.coalesce("m", F.lit(0.0))).alias("n")))
-    first = F.when(F.col("chain") == INTACT, 1.0).when(F.col("chain").startswith("utf-8>"), PRIOR_UTF8).otherwise(PRIOR_OTHER)
-    beliefs, now, own = None, counts, intact
+    outside = cut(merged(counts, expect(weighted).select("gram", (-F.col("n")).alias("n"))))
+    prior = F.when(F.col("chain") == INTACT, 1.0).when(F.col("chain").startswith("utf-8>"), PRIOR_UTF8).otherwise(PRIOR_OTHER)
+    beliefs, now = None, counts
     unit, whole = Window.partitionBy(*group, "uid"), Window.partitionBy(*group)
     for r in range(rounds):
-        fit = fitted(grams, numbers, now, own).select("id", "uid", "chain", "fit")
-        if r == 0:
-            fit = cut(fit)
-            # Alternatives that evidence has ruled out, and the units left without any, leave the rounds.
-            best = fit.where(F.col("chain") == INTACT).select("uid", F.col("fit").alias("base"))
-            live = fit.where(F.col("chain") != INTACT).join(best, "uid").where(F.col("fit") > F.col("base") - HOPELESS).select("id", "uid")
-            live = cut(live)
-            some = live.select("uid").distinct()
-            kept = live.select("id").unionByName(fit.where(F.col("chain") == INTACT).join(some, "uid", "left_semi").select("id"))
-            kept = cut(kept)
-            settled = intact.join(kept, "id", "left_anti")
-            outside = cut(outside.unionByName(grams.join(settled, "id").groupBy("gram").agg(F.sum(F.col("times") * F.col("w")).alias("n"))).groupBy("gram").agg(F.sum("n").alias("n")))
-            grams, told, numbers = cut(grams.join(kept, "id", "left_semi")), cut(told.join(kept, "id", "left_semi")), cut(numbers.join(kept, "id", "left_semi"))
-        known = told.join(fit.select("id", "fit"), "id")
-        known = known.withColumn("belief", first) if beliefs is None else known.join(beliefs, [*group, "chain"], "left").withColumn("belief", F.coalesce("belief", first))
+        fit = fitted(weighted, cut(model(now, vocabulary)), n_known)
+        known = told.join(fit, "uid")
+        known = known.withColumn("belief", prior) if beliefs is None else known.join(beliefs, [*group, "chain"], "left").withColumn("belief", F.coalesce("belief", prior))
         known = known.withColumn("weight", F.log("belief") + F.col("fit"))
         known = known.withColumn("p", F.exp(F.greatest(F.col("weight") - F.max("weight").over(unit), F.lit(-60.0))))
-        known = known.withColumn("p", F.col("p") / F.sum("p").over(unit))
+        known = cut(known.withColumn("p", F.col("p") / F.sum("p").over(unit)).select(*group, "uid", "id", "chain", "n", "p"))
         if r == rounds - 1:
             break
-        known = cut(known.select(*group, "uid", "id", "chain", "n", "p"))
         mass = known.groupBy(*group, "chain").agg(F.sum(F.col("p") * F.col("n")).alias("mass")).withColumn("all", F.sum("mass").over(whole))
-        beliefs = cut(mass.select(*group, "chain", ((F.col("mass") + WEIGHT * first) / (F.col("all") + WEIGHT)).alias("belief")))
-        own = cut(known.groupBy("id").agg(F.sum(F.col("p") * F.col("n")).alias("w")))
-        expected = grams.join(own, "id").groupBy("gram").agg(F.sum(F.col("times") * F.col("w")).alias("n"))
-        now = cut(outside.unionByName(expected).groupBy("gram").agg(F.sum("n").alias("n")))
-    rank = Window.partitionBy(*group, "uid").orderBy(F.col("p").desc(), "chain", "id")
-    best = known.withColumn("rank", F.row_number().over(rank)).where((F.col("rank") == 1) & (F.col("chain") != INTACT)).select(*group, "uid", "id", F.col("p").alias("posterior"))
+        shares = cut(mass.select(*group, "chain", ((F.col("mass") + WEIGHT * prior) / (F.col("all") + WEIGHT)).alias("belief")))
+        if beliefs is not None:
+            was = beliefs.withColumnRenamed("belief", "was")
+            change = shares.join(was, [*group, "chain"], "left").agg(F.max(F.abs(F.col("belief") - F.coalesce("was", F.lit(0.0))))).first()[0]
+            if change is None or change <= tolerance:
+                break
+        beliefs = shares
+        weighted = cut(carried.join(known.groupBy("id").agg(F.sum(F.col("p") * F.col("n")).alias("w")), "id", "left"))
+        now = merged(outside, expect(weighted))
+    best = known.groupBy(*group, "uid").agg(F.max_by(F.struct("id", "chain", "p"), F.struct("p", F.col("chain") == INTACT, -F.col("id"))).alias("b"))
+    best = best.where(F.col("b.chain") != INTACT).select(*group, "uid", F.col("b.id").alias("id"), F.col("b.p").alias("posterior"))
     best = best.join(alts.select("id", "chain", "restored"), "id").join(named, "uid").drop("id")
     mine = units.join(best, [*group, "uid"])
     return mine.select("doc_id", "source", "kind", *keys, "n", "chain", "restored", "posterior").unionByName(gone)
