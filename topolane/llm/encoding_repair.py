@@ -28,8 +28,8 @@ from topolane.session import cut
 LOST, LOST_MARK = "lost", "\ufffd"
 INTACT = "intact"
 #: Most rounds of estimation, and the change of shares at which they end.
-ROUNDS, TOLERANCE = 8, 0.005
-#: A model of at most so many pairs (about 60 bytes each) is broadcast.
+ROUNDS, TOLERANCE = 6, 0.01
+#: A model of at most so many pairs (about 60 bytes each), and weights of as many alternatives (16 bytes), are broadcast.
 BROADCAST = 500_000
 #: Share of units assumed garbled before anything is known: by a chain through UTF-8, whose structure is evidence in
 #: itself, and by any other; WEIGHT is the pseudo-count of that belief.
@@ -394,7 +394,10 @@ def judge(docs: DataFrame, rounds: int = ROUNDS, tolerance: float = TOLERANCE) -
     # What a unit says does not depend on its document: units are pooled per group before the rounds.
     told = cut(units.groupBy(*group, "uid").agg(F.sum("n").alias("n")))
     own = told.groupBy("uid").agg(F.sum("n").cast("double").alias("w")).withColumn("chain", F.lit(INTACT))
-    weighted = cut(carried.join(own, ["uid", "chain"], "left"))
+    n_alts = alts.count()
+    # What each alternative has put into the counts: one number, joined to its pairs without moving them.
+    beside = lambda w: carried.join(F.broadcast(w) if n_alts <= BROADCAST else w, "id", "left")
+    weighted = beside(cut(carried.select("id", "uid", "chain").join(own, ["uid", "chain"]).select("id", "w")))
     expect = lambda df: df.where("w > 0").select("w", F.explode("gs").alias("g")).groupBy("g.gram").agg(F.sum(F.col("g.times") * F.col("w")).alias("n"))
     merged = lambda a, b: a.unionByName(b).groupBy("gram").agg(F.sum("n").alias("n"))
     # Pairs outside the suspicious units, which no round changes.
@@ -419,7 +422,7 @@ def judge(docs: DataFrame, rounds: int = ROUNDS, tolerance: float = TOLERANCE) -
             if change is None or change <= tolerance:
                 break
         beliefs = shares
-        weighted = cut(carried.join(known.groupBy("id").agg(F.sum(F.col("p") * F.col("n")).alias("w")), "id", "left"))
+        weighted = beside(cut(known.groupBy("id").agg(F.sum(F.col("p") * F.col("n")).alias("w"))))
         now = merged(outside, expect(weighted))
     best = known.groupBy(*group, "uid").agg(F.max_by(F.struct("id", "chain", "p"), F.struct("p", F.col("chain") == INTACT, -F.col("id"))).alias("b"))
     best = best.where(F.col("b.chain") != INTACT).select(*group, "uid", F.col("b.id").alias("id"), F.col("b.p").alias("posterior"))
