@@ -7,7 +7,7 @@ import pytest
 import __spark_entry__
 from topolane.plans.code import call_sites, code_nodes, file_numbers
 
-NAMES = ["changes_overlap", "source_windows", "source_window"]
+NAMES = ["changes_overlap", "source_windows", "source_window", "resolve_outcomes"]
 KINDS = ("file", "class", "method", "function", "function")
 
 
