@@ -7,7 +7,10 @@ import pytest
 import __spark_entry__
 from topolane.plans.code import call_sites, code_nodes, file_numbers
 
-NAMES = ["changes_overlap", "source_windows", "source_window", "resolve_outcomes", "select_expand", "resolve_unique", "graph_nodes_by_kind", "hunk_parse"]
+NAMES = [
+    "changes_overlap", "source_windows", "source_window", "resolve_outcomes", "select_expand",
+    "resolve_unique", "graph_nodes_by_kind", "hunk_parse", "map_svg",
+]
 KINDS = ("file", "class", "method", "function", "function")
 
 
