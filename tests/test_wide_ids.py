@@ -9,7 +9,7 @@ from topolane.plans.code import call_sites, code_nodes, file_numbers
 
 NAMES = [
     "changes_overlap", "source_windows", "source_window", "resolve_outcomes", "select_expand",
-    "resolve_unique", "graph_nodes_by_kind", "hunk_parse", "map_svg",
+    "resolve_unique", "graph_nodes_by_kind", "hunk_parse", "map_svg", "file_dependents",
 ]
 KINDS = ("file", "class", "method", "function", "function")
 
