@@ -10,7 +10,7 @@ from topolane.plans.code import call_sites, code_nodes, file_numbers
 NAMES = [
     "changes_overlap", "source_windows", "source_window", "resolve_outcomes", "select_expand",
     "resolve_unique", "graph_nodes_by_kind", "hunk_parse", "map_svg", "file_dependents",
-    "resolve_ambiguous_boundary", "graph_edges_by_kind", "search_tiers", "search_kind_filter",
+    "resolve_ambiguous_boundary", "graph_edges_by_kind", "search_tiers", "search_kind_filter", "node_by_symbol",
 ]
 KINDS = ("file", "class", "method", "function", "function")
 
