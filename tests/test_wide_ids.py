@@ -11,7 +11,7 @@ NAMES = [
     "changes_overlap", "source_windows", "source_window", "resolve_outcomes", "select_expand",
     "resolve_unique", "graph_nodes_by_kind", "hunk_parse", "map_svg", "file_dependents",
     "resolve_ambiguous_boundary", "graph_edges_by_kind", "search_tiers", "search_kind_filter", "node_by_symbol",
-    "files_glob", "resolve_suffix", "select_term_scores",
+    "files_glob", "resolve_suffix", "select_term_scores", "select_scores",
 ]
 KINDS = ("file", "class", "method", "function", "function")
 
