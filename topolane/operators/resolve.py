@@ -28,27 +28,43 @@ def _family(relation: Column) -> Column:
     return F.when(relation.isin("inherits", "extends", "implements"), "types").when(relation.isin("calls", "binds", "renders"), relation).otherwise("any")
 
 
-def _counted(defs: DataFrame, key: str, prefix: str) -> DataFrame:
-    return defs.groupBy("repo", "family", key).agg(
+def _counted(defs: DataFrame, keys: list[str], prefix: str) -> DataFrame:
+    return defs.groupBy("repo", "family", *keys).agg(
         F.count(F.lit(1)).alias(f"n_{prefix}"), F.min("node_id").alias(f"id_{prefix}"), F.min("kind").alias(f"kind_{prefix}")
     )
 
 
-def resolve(nodes: DataFrame, pending: DataFrame) -> DataFrame:
+def _none(p: DataFrame, prefix: str) -> DataFrame:
+    return p.withColumns({f"n_{prefix}": F.lit(None).cast("bigint"), f"id_{prefix}": F.lit(None).cast("bigint"), f"kind_{prefix}": F.lit(None).cast("string")})
+
+
+def resolve(nodes: DataFrame, pending: DataFrame, names: str = "any") -> DataFrame:
     """Pending edges with `n` (candidates that remain), `dst` (if exactly one), `edge_kind` and `outcome`.
 
     pending: repo, source_id, source_kind, target_name, kind, line. Case-sensitive matches win over others; a name with `::` matches
-    any qualified name that ends in it. A missing name or repository matches nothing.
+    any qualified name that ends in it. A missing name or repository matches nothing. names: "simple" if no target name has `::`,
+    "qualified" if each has it; what the others would need is then not worked out.
     """
     defs = nodes.where(F.col("kind").isin(*DEFINITION_KINDS)).select("repo", "node_id", "kind", "label", "qualified_name", F.explode(_families(F.col("kind"))).alias("family"))
-    simple = defs.withColumn("lname", ascii_lower(F.col("label")))
-    suffixed = defs.where(F.instr("qualified_name", "::") > 0).withColumn("lname", F.explode(suffix_keys(ascii_lower(F.col("qualified_name")))))
-    suffixed = suffixed.where(F.instr("lname", "::") > 0)
-    loose = _counted(simple, "lname", "loose")
-    exact = _counted(simple, "label", "exact")
-    qualified = _counted(suffixed, "lname", "qualified")
-    p = pending.withColumns({"family": _family(F.col("kind")), "lname": ascii_lower(F.col("target_name")), "label": F.col("target_name")})
-    p = p.join(loose, ["repo", "family", "lname"], "left").join(exact, ["repo", "family", "label"], "left").join(qualified, ["repo", "family", "lname"], "left")
+    p = pending.withColumns({"family": _family(F.col("kind")), "lname": ascii_lower(F.col("target_name"))})
+    if names == "qualified":
+        p = _none(_none(p, "loose"), "exact")
+    else:
+        # A name's spellings lie in its row (some few that differ in case), so definitions and pending edges move once.
+        simple = defs.drop("qualified_name").withColumn("lname", ascii_lower(F.col("label"))).repartition("repo", "lname")
+        by = _counted(simple, ["lname", "label"], "exact").groupBy("repo", "family", "lname").agg(
+            F.sum("n_exact").alias("n_loose"), F.min("id_exact").alias("id_loose"), F.min("kind_exact").alias("kind_loose"),
+            F.collect_list(F.struct("label", "n_exact", "id_exact", "kind_exact")).alias("spelled"),
+        )
+        p = p.join(by, ["repo", "family", "lname"], "left")
+        p = p.withColumn("mine", F.get(F.filter("spelled", lambda x: x["label"] == F.col("target_name")), F.lit(0))).drop("spelled")
+        p = p.withColumns({c: F.col("mine")[c] for c in ("n_exact", "id_exact", "kind_exact")}).drop("mine")
+    if names == "simple":
+        p = _none(p, "qualified")
+    else:
+        suffixed = defs.where(F.instr("qualified_name", "::") > 0).withColumn("lname", F.explode(suffix_keys(ascii_lower(F.col("qualified_name")))))
+        suffixed = suffixed.where(F.instr("lname", "::") > 0)
+        p = p.join(_counted(suffixed, ["lname"], "qualified"), ["repo", "family", "lname"], "left")
     deep = F.instr("target_name", "::") > 0
     n = F.coalesce(F.when(deep, F.col("n_qualified")).when(F.col("n_exact") > 0, F.col("n_exact")).otherwise(F.col("n_loose")), F.lit(0))
     dst = F.when(deep, F.col("id_qualified")).when(F.col("n_exact") > 0, F.col("id_exact")).otherwise(F.col("id_loose"))
