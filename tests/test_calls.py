@@ -9,7 +9,7 @@ import __spark_entry__
 from topolane.plans import selection
 from topolane.session import cut
 
-NAMES = ["resolve_outcomes", "graph_edges_by_kind", "resolve_unique", "resolve_ambiguous_boundary", "file_dependents", "select_scores", "map_svg"]
+NAMES = ["resolve_outcomes", "graph_edges_by_kind", "resolve_unique", "resolve_ambiguous_boundary", "file_dependents", "select_scores", "select_expand", "map_svg"]
 CALLS = ["resolve_outcomes", "resolve_unique", "resolve_ambiguous_boundary", "graph_edges_by_kind", "file_dependents"]
 FILES = "file_id bigint, repo string, path string, content string, n_lines int"
 NODES = "file_id bigint, path string, local_id int, kind string, label string, qualified_name string, start_line int, end_line int, parent_local_id int"
