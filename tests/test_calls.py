@@ -47,3 +47,8 @@ def test_nothing_is_moved_by_line(spark, odd, name, monkeypatch):
     seen.append(plan(__spark_entry__.queries()[name](spark, odd)))
     of_sites = [x for x in seen if "regexp_extract_all" in x]
     assert of_sites and not any(re.search(r"Exchange hashpartitioning\([^)]*\bline#", x) or "split(translate(qualified_name" in x for x in of_sites)
+
+
+def test_file_dependents_moves_no_boundaries(spark, odd):
+    plan = __spark_entry__.queries()["file_dependents"](spark, odd)._jdf.queryExecution().executedPlan().toString()
+    assert "xxhash64" not in plan and "uncertain_" not in plan
