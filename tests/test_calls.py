@@ -52,3 +52,9 @@ def test_nothing_is_moved_by_line(spark, odd, name, monkeypatch):
 def test_file_dependents_moves_no_boundaries(spark, odd):
     plan = __spark_entry__.queries()["file_dependents"](spark, odd)._jdf.queryExecution().executedPlan().toString()
     assert "xxhash64" not in plan and "uncertain_" not in plan
+
+
+@pytest.mark.parametrize("name", ["select_term_scores", "select_scores"])
+def test_words_are_not_worked_out_again_by_a_filter(spark, odd, name):
+    plan = __spark_entry__.queries()[name](spark, odd)._jdf.queryExecution().executedPlan().toString()
+    assert not any("[^\\p{L}\\p{N}]+" in x for x in plan.splitlines() if re.match(r"[\s:+*()\d-]*Filter ", x))

@@ -97,6 +97,11 @@ def term_score(term: str) -> Column:
     )
 
 
+def once(df: DataFrame, *cols: Column) -> DataFrame:
+    """`df` with further columns, worked out once a row: a filter above reads them, it would otherwise work them out anew wherever it names them."""
+    return df.select("*", F.inline(F.array(F.struct(*cols))))
+
+
 def _many(cols: list[Column]) -> Column:
     return F.greatest(*cols) if len(cols) > 1 else cols[0]
 
@@ -104,13 +109,11 @@ def _many(cols: list[Column]) -> Column:
 def scores(nodes: DataFrame, edges: DataFrame, q: Query) -> DataFrame:
     """(node_id, group, score, owner) of every candidate of every group."""
     low = lambda c: F.coalesce(ascii_lower(F.col(c)), F.lit(""))
-    n = nodes.where(~F.col("kind").isin(*NOT_SYMBOLS)).select(
-        "node_id", "kind", low("label").alias("l"), identifier_words(F.coalesce("label", F.lit(""))).alias("lw"), low("qualified_name").alias("q"),
-        identifier_words(F.coalesce("qualified_name", F.lit(""))).alias("qw"), low("path").alias("p"), F.col("qualified_name"),
-    )
+    n = nodes.where(~F.col("kind").isin(*NOT_SYMBOLS)).select("node_id", "kind", low("label").alias("l"), low("qualified_name").alias("q"), low("path").alias("p"), "label", "qualified_name")
     if not q.with_tests:
         n = n.where(~is_non_production(F.col("p")))
-    n = n.withColumn("stem", _stem(F.col("p")))
+    words_of = lambda c: identifier_words(F.coalesce(c, F.lit("")))
+    n = once(n, words_of("label").alias("lw"), words_of("qualified_name").alias("qw"), _stem(F.col("p")).alias("stem"))
     # Nodes that no term touches can be no candidates; they leave before the join with the degrees.
     n = n.withColumn("gs", F.array(*[_many([term_score(t) for t in g]) for g in q.groups]))
     n = n.withColumn("lexical", F.aggregate("gs", F.lit(0), lambda a, x: a + x)).where("lexical > 0")

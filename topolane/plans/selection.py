@@ -50,8 +50,9 @@ def select_term_scores(spark, sf):
     """Score of one term against every symbol."""
     low = lambda c: F.coalesce(ascii_lower(F.col(c)), F.lit(""))
     n = code_nodes(spark, sf).where(~F.col("kind").isin(*select.NOT_SYMBOLS))
-    n = n.select("node_id", low("label").alias("l"), identifier_words(F.col("label")).alias("lw"), low("qualified_name").alias("q"), identifier_words(F.coalesce("qualified_name", F.lit(""))).alias("qw"), low("path").alias("p"))
-    return n.withColumn("stem", select._stem(F.col("p"))).select("node_id", select.term_score("ledger").alias("score")).where("score > 0")
+    n = n.select("node_id", low("label").alias("l"), low("qualified_name").alias("q"), low("path").alias("p"), "label", "qualified_name")
+    n = select.once(n, identifier_words(F.col("label")).alias("lw"), identifier_words(F.coalesce("qualified_name", F.lit(""))).alias("qw"), select._stem(F.col("p")).alias("stem"))
+    return n.select("node_id", select.term_score("ledger").alias("score")).where("score > 0")
 
 
 @query()
